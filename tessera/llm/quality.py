@@ -179,7 +179,7 @@ WITH parts AS (SELECT *, length(regexp_replace(text, '[ \\t\\n\\r\\f]+', '', 'g'
     length(regexp_replace(text, '[\\p{{L}}\\p{{N}} \\t\\n\\r\\f.,;:''"()?-]+', '', 'g')) AS symbols,
     length(regexp_replace(text, '\\P{{Lu}}+', '', 'g')) AS uppers,
     string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')), ' ') AS w FROM {docs}),
-counted AS (SELECT *, len(w) AS nw, CASE WHEN len(w) >= 3 THEN len(w) - 2 - len(list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) ELSE 0 END AS repeats FROM parts),
+counted AS (SELECT *, len(w) AS nw, CASE WHEN len(w) >= 3 THEN len(w) - 2 - len(list_distinct(list_transform(range(1, len(w) - 1), lambda i : w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) ELSE 0 END AS repeats FROM parts),
 feats AS (SELECT * EXCLUDE (lang, source), coalesce(lang, '') AS lang, coalesce(source, '') AS source, lang AS lang0, source AS source0,
     CAST(CASE WHEN chars > 0 THEN nw ELSE 0 END AS INTEGER) AS n_words, CAST(1000 * symbols // greatest(chars, 1) AS INTEGER) AS symbol_pm,
     CAST(1000 * uppers // greatest(chars, 1) AS INTEGER) AS upper_pm, CAST(1000 * repeats // greatest(nw - 2, 1) AS INTEGER) AS repeat_pm,

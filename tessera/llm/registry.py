@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import langid, quality
 
-QUERIES = {"op1_quality_rules": quality.op1_quality_rules}
+QUERIES = {"op1_quality_rules": quality.op1_quality_rules, "op3_language_id": langid.op3_language_id}
 ORACLES = {"op1_quality_rules": quality.ORACLE}
