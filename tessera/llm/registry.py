@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, quality, simhash
+from . import langid, packing, quality, simhash
 
-QUERIES = {"op1_quality_rules": quality.op1_quality_rules, "op3_language_id": langid.op3_language_id, "op5_simhash_dedup": simhash.op5_simhash_dedup}
+QUERIES = {"op1_quality_rules": quality.op1_quality_rules, "op2_best_fit_packing": packing.op2_best_fit_packing, "op3_language_id": langid.op3_language_id, "op5_simhash_dedup": simhash.op5_simhash_dedup}
 ORACLES = {"op1_quality_rules": quality.ORACLE}
