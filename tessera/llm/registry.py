@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, quality, sharding, simhash
+from . import ctw, langid, mixing, packing, quality, sharding, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_language_id": langid.op3_language_id,
+    "op4_lm_scoring": ctw.op4_lm_scoring,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op10_sharding": sharding.op10_sharding,
