@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, langid, mixing, packing, quality, sharding, simhash
+from . import ctw, langid, mixing, packing, quality, sharding, simhash, urlfilter
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,11 +10,13 @@ QUERIES = {
     "op3_language_id": langid.op3_language_id,
     "op4_lm_scoring": ctw.op4_lm_scoring,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
+    "op6_url_filter": urlfilter.op6_url_filter,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
+    "op6_url_filter": urlfilter.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
