@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, langid, mixing, packing, quality, sharding, simhash, urlfilter
+from . import ctw, jpeg, langid, mixing, packing, quality, records, sharding, simhash, urlfilter
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op6_url_filter": urlfilter.op6_url_filter,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op8_binary_records": records.op8_binary_records,
+    "op9_media_jpeg": jpeg.op9_media_jpeg,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {
