@@ -55,8 +55,9 @@ def with_passthroughs(spark: SparkSession, table: Table) -> Table:
     for c in table.columns:
         if parse.is_aggregate(spark, c.expr):
             wanted |= set(parse.references(spark, c.expr))
-    for m in table.metrics:
-        wanted |= {r.rsplit(".", 1)[-1] for r in parse.references(spark, m.expr)}
+    for m in table.metrics:  # a metric's names are fields first, and base columns otherwise
+        mentioned = parse.references(spark, m.expr) + (parse.references(spark, m.filter) if m.filter else [])
+        wanted |= {r.rsplit(".", 1)[-1] for r in mentioned} - taken.keys()
     for name in sorted(wanted):
         if name not in taken:
             extra.append(Column(name=name, expr=name))

@@ -60,20 +60,17 @@ def _steps(model: SemanticModel, table: str) -> list[Step]:
 
 
 def paths(model: SemanticModel, source: str, target: str) -> list[list[Step]]:
-    """All shortest paths."""
+    """All ways that visit no table twice, the shortest first."""
     if source == target:
         return [[]]
-    found, queue, best = [], deque([(source, [])]), None
+    found, queue = [], deque([(source, [])])
     while queue:
         at, steps = queue.popleft()
-        if best is not None and len(steps) >= best:
-            continue
         for s in _steps(model, at):
-            if any(s.target in (x.source, x.target) for x in steps) or s.target == source:
+            if s.target == source or any(s.target in (x.source, x.target) for x in steps):
                 continue
             way = [*steps, s]
             if s.target == target:
-                best = len(way)
                 found.append(way)
             else:
                 queue.append((s.target, way))

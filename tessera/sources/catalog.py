@@ -162,12 +162,27 @@ def tables_from_frames(frames: dict[str, DataFrame], primary_keys: dict[str, lis
 def sample_values(df: DataFrame, n: int = 10, columns: list[str] | None = None) -> DataFrame:
     """(column_name, position, value): the first n distinct values of each column in order of their text.
 
-    One aggregation of the distinct (column, value) pairs for all columns.
+    One scan for all columns; each partition sends on n values a column, whatever its size.
     """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark.sql import Window
 
     cols = columns or [f.name for f in df.schema.fields if not isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType | T.BinaryType)]
-    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])).alias("p")).select("p.*").filter("value is not null").distinct()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[set[str]] = [set() for _ in cols]
+        for b in batches:
+            for i in range(len(cols)):
+                values = pc.unique(b.column(i).drop_null())
+                if len(values):
+                    best[i] = set(sorted(best[i].union(values.to_pylist()))[:n])
+        pairs = [(c, v) for c, values in zip(cols, best, strict=True) for v in values]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], names=["column_name", "value"])
+
+    pairs = df.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(first, "column_name string, value string").distinct()
     w = Window.partitionBy("column_name").orderBy("value")
     return pairs.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n).select("column_name", "position", "value")
 

@@ -1 +1 @@
-
+"""Incremental statistics over streams."""
