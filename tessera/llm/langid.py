@@ -42,6 +42,7 @@ SMOOTHING = 0.1
 MARK = "▁"
 #: Words of so many letters are scored one by one in log space, and left out of the fit.
 LONG = 40
+BLOCK = 8_000
 REMEMBERED = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -169,43 +170,51 @@ def word_scores(words: list[str], lattice: Lattice, logp: np.ndarray, prob: np.n
 
 
 def fit(counts: dict[str, Counter], lattice: Lattice, rounds: int = EM_ROUNDS, smoothing: float = SMOOTHING) -> tuple[list[str], np.ndarray]:
-    """EM over all segmentations of the sample's words (but those of LONG letters or more); languages in alphabetical order."""
+    """EM over all segmentations of the sample's words (but those of LONG letters or more); languages in alphabetical order.  BLOCK words are in memory at a time."""
     langs, size = sorted(counts), lattice.size
     logp = np.full((size, len(langs)), -np.log(size))
     words = sorted(w for w in set().union(*counts.values()) if len(w) < LONG)
-    weight = np.array([[counts[lang][w] for lang in langs] for w in words], dtype=float).reshape(len(words), len(langs))
+    for _ in range(rounds):
+        expected = np.full((size, len(langs)), smoothing)
+        prob = np.exp(logp)
+        for at in range(0, len(words), BLOCK):
+            block = words[at : at + BLOCK]
+            weight = np.array([[counts[lang][w] for lang in langs] for w in block], dtype=float)
+            expected += _expected(lattice, block, weight, prob)
+        logp = np.log(expected / expected.sum(0))
+    return langs, logp
+
+
+def _expected(lattice: Lattice, words: list[str], weight: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """(pieces, languages): how often each piece is used in all segmentations of the words, by their likelihood."""
+    size, n_langs = lattice.size, prob.shape[1]
     scanned = lattice.scan(words)
     starts, lengths, ids, odd = scanned
     slot = starts + np.arange(len(starts))
     order = np.argsort(-lengths, kind="stable")
     sorted_len = -lengths[order]
-    for _ in range(rounds):
-        rows = _rows(lattice, np.exp(logp), odd)
-        alpha = forward(lattice, scanned, rows)
-        total = alpha[slot + lengths]
-        beta = np.zeros_like(alpha)
-        beta[slot + lengths] = np.divide(weight, total, out=np.zeros_like(weight), where=total > 0)
-        expected = np.zeros((len(rows), len(langs)))
-        for s in range(int(lengths.max(initial=0)) - 1, -1, -1):
-            live = order[: np.searchsorted(sorted_len, -(s + 1), side="right")]
-            acc = np.zeros((len(live), len(langs)))
-            for n in range(1, lattice.longest + 1):
-                within = live[lengths[live] >= s + n]  # a prefix of live: it goes by falling length
-                k = ids[n - 1][starts[within] + s]
-                hit = np.flatnonzero(k >= 0)
-                if len(hit):
-                    share = rows[k[hit]] * beta[slot[within[hit]] + s + n]
-                    acc[hit] += share
-                    gain = share * alpha[slot[within[hit]] + s]
-                    for j in range(len(langs)):
-                        expected[:, j] += np.bincount(k[hit], gain[:, j], minlength=len(rows))
-            beta[slot[live] + s] = acc
-        for c, r in zip(odd, expected[size:-1], strict=True):
-            for k in lattice.spelling(c):
-                expected[k] += r
-        expected = expected[:size] + smoothing
-        logp = np.log(expected / expected.sum(0))
-    return langs, logp
+    rows = _rows(lattice, prob, odd)
+    alpha = forward(lattice, scanned, rows)
+    total = alpha[slot + lengths]
+    beta = np.zeros_like(alpha)
+    beta[slot + lengths] = np.divide(weight, total, out=np.zeros_like(weight), where=total > 0)
+    expected = np.zeros((len(rows), n_langs))
+    for s in range(int(lengths.max(initial=0)) - 1, -1, -1):
+        live = order[: np.searchsorted(sorted_len, -(s + 1), side="right")]
+        acc = np.zeros((len(live), n_langs))
+        for n in range(1, lattice.longest + 1):
+            within = live[lengths[live] >= s + n]  # a prefix of live: it goes by falling length
+            k = ids[n - 1][starts[within] + s]
+            hit = np.flatnonzero(k >= 0)
+            if len(hit):
+                share = rows[k[hit]] * beta[slot[within[hit]] + s + n]
+                acc[hit] += share
+                np.add.at(expected, k[hit], share * alpha[slot[within[hit]] + s])
+        beta[slot[live] + s] = acc
+    for c, r in zip(odd, expected[size:-1], strict=True):
+        for k in lattice.spelling(c):
+            expected[k] += r
+    return expected[:size]
 
 
 def sample_counts(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict[str, Counter]:
@@ -220,9 +229,9 @@ def sample_counts(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict[str, Co
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, train_docs / n))) for lang, n in sizes.items()])
     unit = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).cast("double")
     words = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")
-    rows = docs.filter(unit < share).select("lang", words).filter("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n")).toPandas()
+    rows = docs.filter(unit < share).select("lang", words).filter("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
     out: dict[str, Counter] = {lang: Counter() for lang in sizes}
-    for lang, w, n in rows.itertuples(index=False):
+    for lang, w, n in rows.toLocalIterator():  # a partition at a time: the sample is bounded, and so is what the driver holds
         out[lang][w] = int(n)
     return {k: v for k, v in out.items() if v}
 
