@@ -355,7 +355,7 @@ def _composites(t: RawTable, work: list[RawTable], keys: dict[str, Key]) -> list
         if parent.name == t.name or not key or len(key.columns) < 2:
             continue
         pairs = []
-        for p in key.columns:
+        for p in sorted(key.columns):
             match = [c for c in t.columns if N.key_stem(c.name) == N.key_stem(p) and N.key_family(c.data_type) == N.key_family(parent.column(p).data_type) is not None]
             if len(match) != 1:
                 break
@@ -393,7 +393,7 @@ def _near_misses(t: RawTable, c: RawColumn, work: list[RawTable], keys: dict[str
 def _bridges(work: list[RawTable], edges: list[Edge]) -> list[Edge]:
     out = []
     for t in work:
-        mine = [e for e in edges if e.left == t.name and not e.is_self and e.score >= 0.5]
+        mine = [e for e in edges if e.left == t.name and not e.is_self and e.score >= 0.5 and len(e.keys) == 1]
         parents = sorted({e.right for e in mine})
         s = bridge_score(t, len({e.keys[0][0] for e in mine}), parents)
         if len(parents) < 2 or s < 0.6:
