@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, materialize
+from .common import materialize, own_name
 
 KEYS_PER_BLOCK = 40
 BITS = 8
@@ -67,18 +67,17 @@ def filter_listed(pages: DataFrame, listed: DataFrame, url: str = "url") -> Data
     """``pages`` (with all columns) without those whose canonical URL is in ``listed`` (column ``url``)."""
     keys = materialize(listed.select(canonical(F.col("url")).alias("key")).filter("key is not null").distinct(), "listed")
     n_blocks = max(1, -(-keys.count() // KEYS_PER_BLOCK))
-    blocks = materialize(bloom_blocks(keys, n_blocks), "bloom").select(F.col("block").alias(OWN + "block"), *[F.col(f"w{i}").alias(f"{OWN}w{i}") for i in range(BITS)])
-    key = OWN + "key"
+    key, block, maybe, exact_key, *words = (own_name(pages, n) for n in ("key", "block", "maybe", "listed", *(f"w{i}" for i in range(BITS))))
+    blocks = materialize(bloom_blocks(keys, n_blocks), "bloom").select(F.col("block").alias(block), *[F.col(f"w{i}").alias(w) for i, w in enumerate(words)])
     rows = pages.withColumn(key, canonical(pages[url]))
     passed = F.lit(True)
-    for i, m in enumerate(_bits(F.xxhash64(key, F.lit(1)))):
-        passed &= F.col(f"{OWN}w{i}").bitwiseAND(m) == m
-    probed = rows.join(blocks, F.pmod(F.xxhash64(key), F.lit(n_blocks)) == F.col(OWN + "block"), "left")
+    for w, m in zip(words, _bits(F.xxhash64(key, F.lit(1))), strict=True):
+        passed &= F.col(w).bitwiseAND(m) == m
+    probed = rows.join(blocks, F.pmod(F.xxhash64(key), F.lit(n_blocks)) == F.col(block), "left")
     # a key that can't be on the list keeps out of the exact join's way: null joins nothing
-    maybe = F.when(F.col(key).isNotNull() & F.col(OWN + "block").isNotNull() & passed, F.col(key))
-    probed = probed.withColumn(OWN + "maybe", maybe)
-    exact = keys.select(F.col("key").alias(OWN + "listed"))
-    return probed.join(exact, F.col(OWN + "maybe") == F.col(OWN + "listed"), "left_anti").select(*[pages[c] for c in pages.columns])
+    probed = probed.withColumn(maybe, F.when(F.col(key).isNotNull() & F.col(block).isNotNull() & passed, F.col(key)))
+    exact = keys.select(F.col("key").alias(exact_key))
+    return probed.join(exact, F.col(maybe) == F.col(exact_key), "left_anti").select(pages.columns)
 
 
 def op6_url_filter(spark, sf_dir):
