@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, let, materialize
+from .common import let, materialize, own_name
 
 REACH = 3
 MIN_GROUP = 100
@@ -32,32 +32,31 @@ SPACE = "[ \\t\\n\\r\\f]+"
 
 
 def features(text: Column) -> Column:
-    """Struct of n_words and the features; per mille, or tenths of a character."""
-    chars = F.length(F.regexp_replace(text, SPACE, ""))
+    """Struct of n_words and the features; per mille, or tenths of a character.  Every pass over the text is made once."""
+    flat = F.trim(F.regexp_replace(text, SPACE, " "))
     symbols = F.length(F.regexp_replace(text, "[\\p{L}\\p{N} \\t\\n\\r\\f.,;:'\"()?-]+", ""))
     upper = F.length(F.regexp_replace(text, "\\P{Lu}+", ""))
-    words = F.split(F.trim(F.regexp_replace(text, SPACE, " ")), " ")
+    scanned = let(flat, lambda t: F.struct(F.split(t, " ").alias("w"), F.length(t).alias("length"), symbols.alias("symbols"), upper.alias("upper")))
 
-    def of_words(w: Column) -> Column:
-        n = F.size(w)
+    def of_words(s: Column) -> Column:
+        w, n = s["w"], F.size(s["w"])
         grams = F.transform(
             F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))
         )
         repeats = F.when(n >= 3, n - 2 - F.size(F.array_distinct(grams))).otherwise(0)
-        return F.struct(n.alias("n"), repeats.alias("repeats"))
+        return F.struct(n.alias("n"), (s["length"] - n + 1).alias("chars"), s["symbols"], s["upper"], repeats.alias("repeats"))
 
-    def finish(w: Column) -> Column:
-        c = F.greatest(chars, F.lit(1))
-        pm = lambda part, whole: F.floor(F.lit(1000) * part / whole).cast("int")
+    def finish(s: Column) -> Column:
+        pm = lambda part, whole: F.floor(F.lit(1000) * part / F.greatest(whole, F.lit(1))).cast("int")
         return F.struct(
-            F.when(chars > 0, w["n"]).otherwise(0).alias("n_words"),
-            pm(symbols, c).alias("symbol_pm"),
-            pm(upper, c).alias("upper_pm"),
-            pm(w["repeats"], F.greatest(w["n"] - 2, F.lit(1))).alias("repeat_pm"),
-            F.floor(F.lit(10) * chars / w["n"]).cast("int").alias("word_len10"),
+            F.when(s["chars"] > 0, s["n"]).otherwise(0).alias("n_words"),
+            pm(s["symbols"], s["chars"]).alias("symbol_pm"),
+            pm(s["upper"], s["chars"]).alias("upper_pm"),
+            pm(s["repeats"], s["n"] - 2).alias("repeat_pm"),
+            F.floor(F.lit(10) * s["chars"] / s["n"]).cast("int").alias("word_len10"),
         )
 
-    return let(let(words, of_words), finish)
+    return let(let(scanned, of_words), finish)
 
 
 def bucket_of(v: Column) -> Column:
@@ -75,10 +74,10 @@ def sketches(rows: DataFrame) -> DataFrame:
     """(lang, source, feature, bucket, n) from rows with lang, source and the features."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), bucket_of(F.col(f)).alias("bucket")) for f in FEATURES]))
     return (
-        rows.filter("n_words > 0")
-        .select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), pairs.alias("p"))
+        rows.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "n_words", pairs.alias("p"))
         .groupBy("lang", "source", "p.feature", "p.bucket")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count_if(F.col("n_words") > 0).alias("n"))  # a filter on n_words would be pushed below and compute the features again
+        .filter("n > 0")
     )
 
 
@@ -142,11 +141,12 @@ def filter_documents(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """The documents kept, with all their columns."""
     rows = docs.select("lang", "source", features(F.col("text")).alias("f")).select("lang", "source", "f.*")
     fences = materialize(thresholds(materialize(sketches(rows), "sketch"), min_group), "fences")
-    fences = fences.select(*[F.col(c).alias(OWN + c) for c in fences.columns])
+    own = {c: own_name(docs, c) for c in fences.columns}
+    fences = fences.select(*[F.col(c).alias(own[c]) for c in fences.columns])
     feats = features(docs["text"])
-    same = (F.coalesce(docs["lang"], F.lit("")) == F.col(OWN + "lang")) & (F.coalesce(docs["source"], F.lit("")) == F.col(OWN + "source"))
+    same = (F.coalesce(docs["lang"], F.lit("")) == F.col(own["lang"])) & (F.coalesce(docs["source"], F.lit("")) == F.col(own["source"]))
     joined = docs.join(fences, same)
-    ok = let(feats, lambda f: passes(lambda n: f[n], lambda n: F.col(OWN + n)))
+    ok = let(feats, lambda f: passes(lambda n: f[n], lambda n: F.col(own[n])))
     return joined.filter(ok).select(*[docs[c] for c in docs.columns])
 
 
