@@ -76,6 +76,21 @@ class Discovery:
     def confidence_by_name(self) -> dict[str, float]:
         return {e.name: e.confidence for e in self.edges}
 
+    def summary(self) -> dict:
+        return {
+            "tables": len(self.tables), "relationships": len(self.edges), "missed_candidates": len(self.missed), "processing_ms": self.milliseconds,
+            "limited_by_tables": self.limited_by_tables, "limited_by_relationships": self.limited_by_relationships, "timed_out": self.timed_out, "notes": self.notes,
+        }
+
+    def detailed(self) -> dict:
+        """Plain data for JSON or YAML, with the SQL of each join."""
+        edges = [{"name": e.name, "left_table": e.left, "right_table": e.right, "keys": [list(k) for k in e.keys], "type": e.cardinality, "join": e.join_type, "via": e.via, "confidence": e.confidence, "band": band(e.confidence), "reasons": e.reasons, "suggested_join_sql": join_sql(e)} for e in self.edges]
+        return {"relationships": edges, "missed_candidates": self.missed, "primary_keys": {t: list(k.columns) for t, k in self.primary_keys.items()}, "summary": self.summary()}
+
+    def missed_dataframe(self, spark: SparkSession) -> DataFrame:
+        names = ("table", "column", "candidate_table", "candidate_column", "reason", "samples")
+        return spark.createDataFrame([tuple(m[n] for n in names) for m in self.missed], "table string, column string, candidate_table string, candidate_column string, reason string, samples array<string>")
+
     def relationships(self) -> list[Relationship]:
         return [Relationship(e.name, e.left, e.right, [RelationKey(a, b) for a, b in e.keys], e.join_type, e.cardinality, e.via) for e in self.edges]
 
@@ -91,6 +106,38 @@ def band(confidence: float) -> str:
     return next((name for at, name in BANDS if confidence >= at), "very_low")
 
 
+def join_sql(e: Edge) -> str:
+    """``FROM ... JOIN ...`` text of an edge; over the bridge, where there is one."""
+    q = N.quote_identifier
+    if e.via:
+        (a, b), via = e.keys[0], q(e.via)
+        return f"FROM {via} JOIN {q(e.left)} ON {via}.{q(a)} = {q(e.left)}.<key> JOIN {q(e.right)} ON {via}.{q(b)} = {q(e.right)}.<key>"
+    how = {"inner": "JOIN", "left_outer": "LEFT JOIN", "right_outer": "RIGHT JOIN", "full_outer": "FULL JOIN"}[e.join_type]
+    right = "parent" if e.is_self else q(e.right)
+    named = f"{q(e.right)} AS parent" if e.is_self else right
+    return f"FROM {q(e.left)} {how} {named} ON " + " AND ".join(f"{q(e.left)}.{q(a)} = {right}.{q(b)}" for a, b in e.keys)
+
+
+def evaluate(found: Discovery, golden: set[tuple[str, str]]) -> dict[str, float]:
+    """Precision, recall and F1 of the direct edges against (child, parent) pairs."""
+    got = {(e.left.lower(), e.right.lower()) for e in found.edges if not e.via}
+    want = {(a.lower(), b.lower()) for a, b in golden}
+    hit = len(got & want)
+    p, r = hit / len(got) if got else 0.0, hit / len(want) if want else 0.0
+    return {"precision": p, "recall": r, "f1": 2 * p * r / (p + r) if p + r else 0.0}
+
+
+def sample_confidence(child: list[str], parent: list[str], least: int = 20) -> float:
+    """From values alone: how unique the parent's are, how many of the child's it has, how much less unique the child's are."""
+    a, b = [v for v in child if not N.is_nullish(v)], [v for v in parent if not N.is_nullish(v)]
+    if len(a) < least or len(b) < least:
+        return 0.0
+    step = lambda x, cuts: next((s for at, s in cuts if x > at), 0.0)
+    ua, ub = len(set(a)) / len(a), len(set(b)) / len(b)
+    shared = len(set(a) & set(b)) / len(set(a))
+    return round(step(ub, ((0.95, 0.4), (0.85, 0.3), (0.7, 0.15))) + step(shared, ((0.8, 0.5), (0.6, 0.35), (0.4, 0.2), (0.2, 0.1))) + step(ub - ua, ((0.3, 0.1), (0.1, 0.05))), 4)
+
+
 # ---- keys
 
 
@@ -184,7 +231,7 @@ def score(child: RawTable, c: RawColumn, parent: RawTable, key: Key, child_key:
         share = len(a & b) / len(a)
         if not share and 3 <= len(a) < 50 and 3 <= len(b) < 50:
             return None
-        base += 0.1 * share
+        base += max(0.1 * share, 0.15 * sample_confidence(c.values, p.values))
         if share:
             reasons.append("shared values")
     return base, reasons
@@ -277,6 +324,7 @@ def discover(
     timeout_seconds: float | None = None,
     strict: bool = False,
     keep_noise: bool = False,
+    prefilter: bool = False,
 ) -> Discovery:
     """All relationships among the tables; ``frames`` (by table name) add exact evidence."""
     began = time.monotonic()
@@ -288,6 +336,8 @@ def discover(
         ordered, out.limited_by_tables = [t for t in ordered if t.name in kept], True
         out.notes.append(f"only the first {max_tables} tables")
     out.tables = [t.name for t in ordered]
+    if prefilter:
+        ordered = [key_prefilter(t) for t in ordered]
     work = [t for t in ordered if keep_noise or not N.is_noise_table(t.name)]
     by_name = {t.name: t for t in work}
     keys = {t.name: k for t in work if (k := primary_key(t, work))}

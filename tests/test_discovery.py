@@ -154,3 +154,13 @@ def test_can_contain():
     for child in (I.ColumnProfile("integer", 9, 1, 9, "3", "3"), I.ColumnProfile("integer", 900, 106, 900, "1", "100"), I.ColumnProfile("integer", 9, 5, 9, "0", "9"), I.ColumnProfile("string", 9, 5, 9)):
         assert not I.can_contain(child, p)
     assert not I.can_contain(p, I.ColumnProfile("integer", 100, 50, 100, "0", "200"))
+
+
+def test_reports_and_scores(spark):
+    defs = definitions(SCHEMAS["tpch"][0])
+    found = D.discover_from_definitions(defs, prefilter=True)
+    assert D.evaluate(found, {("orders", "customer")})["recall"] == 1.0
+    told = found.detailed()
+    assert "FROM `ORDERS` JOIN `CUSTOMER` ON `ORDERS`.`o_custkey` = `CUSTOMER`.`c_custkey`" in {e["suggested_join_sql"] for e in told["relationships"]} and told["summary"]["relationships"] == len(found.edges)
+    assert found.missed_dataframe(spark).count() == len(found.missed)
+    assert D.sample_confidence([str(i % 5) for i in range(30)], [str(i) for i in range(30)]) == 1.0 and D.sample_confidence(["1"], ["1"]) == 0.0
