@@ -1,33 +1,78 @@
-"""The pipeline against its stages applied to small documents by hand."""
+"""The pipeline against a brute-force version of every stage, and its edges."""
 
-from collections import Counter
+from collections import Counter, defaultdict
+
+import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import common, langid, mixing, packing, quality, simhash
+from tests import duck
+from tests.llm.test_operators import brute_likelihood, union_find
 
 
-def test_stages_chain_and_keep_the_columns(spark, small):
-    docs = common.table(spark, small, "documents")
-    columns, n = docs.columns, docs.count()
-    sizes = [n]
-    for name, stage in corpus_pipeline.STAGES:
-        out = common.materialize(stage(spark, docs, small), "stage")
-        if name != corpus_pipeline.STAGES[-1][0]:
-            assert out.columns == columns
-        docs = out
-        sizes.append(out.count())
-    assert sizes[1] < sizes[0] and sizes[3] < sizes[2] and sizes[4] >= sizes[3]
-    whole = corpus_pipeline.run(spark, small)
-    assert Counter(whole.select("doc_id", "piece", "length").collect()) == Counter(docs.select("doc_id", "piece", "length").collect())
-
-
-def test_pipeline_equals_its_operators(spark, small):
+def test_against_brute_force(spark, small):
     docs = common.table(spark, small, "documents")
-    for f in (quality.filter_documents, langid.filter_documents, simhash.filter_documents, mixing.mix_documents):
-        docs = common.materialize(f(docs), "step")
-    want = packing.pack(docs).toPandas().groupby("sequence").length.sum()
-    got = corpus_pipeline.run(spark, small).toPandas().groupby("sequence").length.sum()
-    assert sorted(want) == sorted(got) and max(got) <= packing.CAPACITY
+    outs = []
+    for _, stage in corpus_pipeline.STAGES:
+        before = docs if not outs else outs[-1]
+        outs.append(common.materialize(stage(spark, before, small), "stage"))
+        if len(outs) < len(corpus_pipeline.STAGES):
+            assert outs[-1].columns == docs.columns
+    kept = [Counter(r.doc_id for r in o.select("doc_id").collect()) for o in outs]
+
+    # 1: the same rules in SQL
+    sql = quality.duckdb_sql("documents", "SELECT doc_id FROM kept")
+    assert kept[0] == Counter(duck.run(sql, small).doc_id.tolist()) and sum(kept[0].values()) < docs.count()
+
+    # 2: every word's likelihood as a sum over segmentations, one by one
+    rows = outs[0].select("doc_id", "text", "lang").collect()
+    model = langid.train(outs[0])
+    known, prob, memo = {p: i for i, p in enumerate(model["pieces"])}, np.exp(model["logp"]), {}
+    want = Counter()
+    for r in rows:
+        words = Counter(langid.WORD.findall(r.text.lower()))
+        score = np.zeros(len(model["langs"]))
+        for w, n in words.items():
+            if w not in memo:
+                memo[w] = np.array([brute_likelihood(w, known, prob[:, j], len(known) + 256) for j in range(len(model["langs"]))])
+            score += n * memo[w]
+        if words and (score.max() - score[model["langs"].index(r.lang)]) / sum(words.values()) <= langid.MARGIN:
+            want[r.doc_id] += 1
+    assert kept[1] == want
+
+    # 3: all pairs of fingerprints
+    fps = {r.doc_id: np.array([r.hi, r.lo]).view(np.uint64) for r in simhash.fingerprints(outs[1]).collect()}
+    at = sorted(fps)
+    roots = union_find([(a, b) for i, a in enumerate(at) for b in at[:i] if np.bitwise_count(fps[a] ^ fps[b]).sum() <= simhash.K], at)
+    assert set(kept[2]) >= set(roots.values()) and len(kept[2]) <= len(set(roots.values())) + 2 and max(kept[2].values()) == 1
+
+    # 4: the same positions in SQL, and the order of the files
+    want = duck.run(mixing.ORACLE, documents=outs[2].select("doc_id", "text", "lang", "source", "n_chars").toArrow())
+    assert kept[3] == Counter(want.doc_id.tolist())
+    order = {i: sorted(g.position) for i, g in want.groupby("doc_id")}
+    first = [order[r.doc_id][0] for r in corpus_pipeline.STAGES[3][1](spark, outs[2], small).select("doc_id").collect() if len(order[r.doc_id]) == 1]
+    assert first == sorted(first)
+
+    # 5: every byte once, no sequence too long, and few of them
+    cut = Counter()
+    for r in outs[3].select("doc_id", F.octet_length("text").alias("n")).collect():
+        n = r.n + 1
+        for piece in range(-(-n // packing.CAPACITY)):
+            cut[r.doc_id, piece, min(packing.CAPACITY, n - piece * packing.CAPACITY)] += 1
+    packed = outs[4].collect()
+    assert Counter((r.doc_id, r.piece, r.length) for r in packed) == cut
+    spans = defaultdict(list)
+    for r in packed:
+        spans[r.sequence].append((r.seq_offset, r.length))
+    for parts in spans.values():
+        parts.sort()
+        assert all(a + n <= b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= packing.CAPACITY
+    assert len(spans) <= 1.05 * sum(r.length for r in packed) / packing.CAPACITY + 3
+
+    # the whole of it
+    whole = corpus_pipeline.run(spark, small).collect()
+    assert Counter((r.doc_id, r.piece, r.length) for r in whole) == cut
 
 
 def test_pipeline_of_nothing(spark):
