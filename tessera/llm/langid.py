@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 TRAIN_DOCS = 600
 MARGIN = 6.0
@@ -307,6 +309,8 @@ def language_report(docs: DataFrame, vocabulary: str = VOCABULARY, train_docs: i
                     [c.column(0).take(pa.array(k)), c.column(1).take(pa.array(k)), pa.array(v["pred_lang"].tolist(), pa.string()), pa.array(v["n_words"].to_numpy()), pa.array(v["nats_per_word"].to_numpy()), pa.array(v["gap"].to_numpy())],
                     names=["doc_id", "lang", "pred_lang", "n_words", "nats_per_word", "gap"],
                 )
+        del m, scorer
+        tidy()
 
     schema = "doc_id long, lang string, pred_lang string, n_words long, nats_per_word double, gap double"
     return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(run, schema)
@@ -317,13 +321,15 @@ def filter_documents(docs: DataFrame, vocabulary: str = VOCABULARY, train_docs:
     model = train(docs, vocabulary, train_docs)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def keep(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def keep(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         m = shipped.value
         scorer = Scorer(m) if m else None
         for text, lang in batches:
-            parts = [_verdict(m, scorer, text[at : at + 512].tolist(), lang[at : at + 512].tolist(), margin)["keep"] for at in range(0, len(text), 512)]
-            yield pd.concat(parts, ignore_index=True) if parts else pd.Series([], dtype=bool)
+            parts = [_verdict(m, scorer, text.slice(at, 256).to_pylist(), lang.slice(at, 256).to_pylist(), margin)["keep"].to_numpy() for at in range(0, len(text), 256)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
+        del m, scorer
+        tidy()
 
     return docs.filter(keep(docs["text"], docs["lang"]))
 
