@@ -1,37 +1,37 @@
 """Rule tables: plain data used by the name functions and by discovery."""
 
-GENERIC_TOKENS = frozenset("ID NAME CODE KEY VALUE NUMBER".split())
-TABLE_PREFIXES = frozenset("DIM FACT FCT BRIDGE BRG STG ODS OD DW VW VIEW HUB SAT LNK TMP TMPV T TBL".split())
+GENERIC_TOKENS = frozenset("CODE ID KEY NAME NUMBER VALUE".split())
+TABLE_PREFIXES = frozenset("BRG BRIDGE DIM DW FACT FCT HUB LNK OD ODS SAT STG T TBL TMP TMPV VIEW VW".split())
 #: Words that describe a table without naming its entity.
-TABLE_SUFFIXES = frozenset("INFO DATA PROFILE TABLE MASTER LIST".split())
+TABLE_SUFFIXES = frozenset("DATA INFO LIST MASTER PROFILE TABLE".split())
 KEY_SUFFIXES = ("KEY", "ID", "CODE", "NO", "NUM", "NBR", "NUMBER", "NR", "ABBR", "SEQ", "REF", "IDX", "UUID", "GUID", "SK", "PK")
-NATURAL_SUFFIXES = frozenset("CODE NO NUM NBR ABBR NR".split())
-SURROGATES = frozenset("RECORD_ID ROW_ID ENTITY_ID UNIQUE_ID SEQUENCE_ID AUTO_ID SERIAL_ID".split())
-NOT_IDENTIFIERS = frozenset("NAME COMMENT DESC DESCRIPTION ADDRESS PHONE EMAIL BALANCE AMOUNT PRICE COST DATE TIME TIMESTAMP QTY QUANTITY TEXT BAL AMT AVAIL".split())
-CONTENT_WORDS = frozenset(
-    "DESCRIPTION CONTENT COMMENT COMMENTS NOTE NOTES TEXT BODY MESSAGE SUMMARY ABSTRACT DESC DETAILS REMARKS MEMO NAME TITLE LABEL STATUS STATE TYPE TYPES FLAG FLAGS "
-    "PRIORITY LEVEL GRADE RANK STAGE CATEGORY CLASS KIND MODE PHASE".split()
+NATURAL_SUFFIXES = frozenset("ABBR CODE NBR NO NR NUM".split())
+SURROGATES = frozenset("AUTO_ID ENTITY_ID RECORD_ID ROW_ID SEQUENCE_ID SERIAL_ID UNIQUE_ID".split())
+NOT_IDENTIFIERS = frozenset("ADDRESS AMOUNT AMT AVAIL BAL BALANCE COMMENT COST DATE DESC DESCRIPTION EMAIL NAME PHONE PRICE QTY QUANTITY TEXT TIME TIMESTAMP".split())
+CONTENT_WORDS = frozenset("ABSTRACT BODY CATEGORY CLASS COMMENT COMMENTS CONTENT DESC DESCRIPTION DETAILS FLAG FLAGS GRADE KIND LABEL LEVEL MEMO MESSAGE MODE NAME NOTE NOTES PHASE PRIORITY RANK REMARKS STAGE STATE STATUS SUMMARY TEXT TITLE TYPE TYPES".split())
+MEASURE_WORDS = frozenset("AMOUNT BALANCE COST COUNT PREMIUM PRICE QTY QUANTITY RATE SCORE SUBTOTAL SUM TOTAL".split())
+TIME_WORDS = frozenset("DATE DATETIME DAY DT HOUR TIME TIMESTAMP".split())
+SYSTEM_ACTIONS = frozenset("CREATED DELETED INSERTED LOADED MODIFIED SYNCED UPDATED".split())
+AUDIT_ACTORS = frozenset("APPROVED_BY ASSIGNED_TO CREATED_BY DELETED_BY MODIFIED_BY OWNED_BY REVIEWED_BY UPDATED_BY".split())
+PERSON_TABLES = frozenset("ACCOUNT EMPLOYEE PERSON STAFF USER".split())
+ABBREVIATIONS = dict(
+    pair.split("=")
+    for pair in (
+        "ACCT=ACCOUNT ADDR=ADDRESS AMT=AMOUNT CAT=CATEGORY CNTRY=COUNTRY CONV=CONVERSATION CTG=CATEGORY CURR=CURRENCY CUST=CUSTOMER DEPT=DEPARTMENT "
+        "DESC=DESCRIPTION DIV=DIVISION DOC=DOCUMENT EMP=EMPLOYEE GRP=GROUP INV=INVENTORY LOC=LOCATION MGR=MANAGER NUM=NUMBER ORD=ORDER "
+        "ORG=ORGANIZATION PROD=PRODUCT PROJ=PROJECT QTY=QUANTITY REF=REFERENCE REG=REGION SUPP=SUPPLIER TRANS=TRANSACTION TXN=TRANSACTION USR=USER "
+        "VEND=VENDOR WHSE=WAREHOUSE"
+    ).split()
 )
-MEASURE_WORDS = frozenset("AMOUNT PRICE COST TOTAL SUBTOTAL QUANTITY QTY COUNT SUM BALANCE RATE SCORE PREMIUM".split())
-TIME_WORDS = frozenset("DATE TIME TIMESTAMP DT DAY HOUR DATETIME".split())
-SYSTEM_ACTIONS = frozenset("CREATED UPDATED DELETED MODIFIED INSERTED LOADED SYNCED".split())
-AUDIT_ACTORS = frozenset("CREATED_BY UPDATED_BY MODIFIED_BY DELETED_BY APPROVED_BY ASSIGNED_TO OWNED_BY REVIEWED_BY".split())
-PERSON_TABLES = frozenset("USER EMPLOYEE PERSON ACCOUNT STAFF".split())
-ABBREVIATIONS = {
-    "CUST": "CUSTOMER", "SUPP": "SUPPLIER", "PROD": "PRODUCT", "CAT": "CATEGORY", "ADDR": "ADDRESS", "QTY": "QUANTITY", "AMT": "AMOUNT", "NUM": "NUMBER", "DESC": "DESCRIPTION",
-    "REF": "REFERENCE", "DEPT": "DEPARTMENT", "ACCT": "ACCOUNT", "ORG": "ORGANIZATION", "EMP": "EMPLOYEE", "MGR": "MANAGER", "USR": "USER", "INV": "INVENTORY", "ORD": "ORDER",
-    "PROJ": "PROJECT", "TRANS": "TRANSACTION", "TXN": "TRANSACTION", "LOC": "LOCATION", "GRP": "GROUP", "CTG": "CATEGORY", "VEND": "VENDOR", "WHSE": "WAREHOUSE", "CURR": "CURRENCY",
-    "CNTRY": "COUNTRY", "REG": "REGION", "DIV": "DIVISION", "DOC": "DOCUMENT", "CONV": "CONVERSATION",
-}
-SELF_REFERENCE = ("PARENT", "MGR", "MANAGER", "SUPERVISOR", "REPORTS_TO", "REPORT_TO", "BOSS", "PREDECESSOR", "REFERRER", "REFERRED_BY", "ANCESTOR")
+SELF_REFERENCE = tuple("ANCESTOR BOSS MANAGER MGR PARENT PREDECESSOR REFERRED_BY REFERRER REPORTS_TO REPORT_TO SUPERVISOR".split())
 ROLE_WORDS = {
-    "bridge": frozenset("BRIDGE BRG LINK JUNCTION ASSOC ASSOCIATION XREF REL".split()),
-    "staging": frozenset("STG STAGING TMP TEMP WORK LANDING RAW".split()),
-    "fact": frozenset("FACT FCT TXN TRANSACTION EVENT LOG SALE ORDER".split()),
-    "dimension": frozenset("DIM DIMENSION LOOKUP REF REFERENCE MASTER".split()),
+    "bridge": frozenset("ASSOC ASSOCIATION BRG BRIDGE JUNCTION LINK REL XREF".split()),
+    "staging": frozenset("LANDING RAW STAGING STG TEMP TMP WORK".split()),
+    "fact": frozenset("EVENT FACT FCT LOG ORDER SALE TRANSACTION TXN".split()),
+    "dimension": frozenset("DIM DIMENSION LOOKUP MASTER REF REFERENCE".split()),
 }
-OPTIONAL_WORDS = frozenset("PROMO PROMOTION DISCOUNT COUPON OPTIONAL SECONDARY ALTERNATE BACKUP FALLBACK TEMP TMP".split())
-FILTER_SUFFIXES = frozenset("STATUS FLAG TYPE PRIORITY SEGMENT CATEGORY MODE CODE LEVEL".split())
+OPTIONAL_WORDS = frozenset("ALTERNATE BACKUP COUPON DISCOUNT FALLBACK OPTIONAL PROMO PROMOTION SECONDARY TEMP TMP".split())
+FILTER_SUFFIXES = frozenset("CATEGORY CODE FLAG LEVEL MODE PRIORITY SEGMENT STATUS TYPE".split())
 NULLISH = ("", "NULL", "NONE", "NAN", "NA", "N/A", "NOT AVAILABLE")
 NOISE_TABLES = (
     r"^(tmp|temp|test|bak|backup|old|copy|scratch|sandbox|debug|dummy|sample|stg|staging)_",
@@ -43,16 +43,16 @@ BUSINESS_PAIRS = {
     ("ORDER", "CUSTOMER"): 0.25, ("ORDER", "PRODUCT"): 0.25, ("ORDER", "DATE"): 0.3, ("CUSTOMER", "ADDRESS"): 0.2, ("CUSTOMER", "LOCATION"): 0.2, ("CUSTOMER", "NATION"): 0.2,
     ("PRODUCT", "LOCATION"): 0.15, ("EMPLOYEE", "LOCATION"): 0.15, ("ORDER", "EMPLOYEE"): 0.2,
 }
-CATEGORICAL = frozenset("VARCHAR STRING TEXT CHAR CHARACTER NCHAR NVARCHAR BOOLEAN UUID".split())
-TEMPORAL = frozenset("DATE DATETIME TIMESTAMP TIMESTAMP_NTZ TIMESTAMP_LTZ TIMESTAMP_TZ TIME".split())
-INTEGERS = frozenset("INT INTEGER BIGINT SMALLINT TINYINT".split())
-NUMERIC = INTEGERS | frozenset("NUMBER DECIMAL NUMERIC FLOAT DOUBLE REAL".split())
-OBJECTS = frozenset("VARIANT OBJECT ARRAY MAP JSON STRUCT GEOGRAPHY BINARY VARBINARY VECTOR VOID".split())
+CATEGORICAL = frozenset("BOOLEAN CHAR CHARACTER NCHAR NVARCHAR STRING TEXT UUID VARCHAR".split())
+TEMPORAL = frozenset("DATE DATETIME TIME TIMESTAMP TIMESTAMP_LTZ TIMESTAMP_NTZ TIMESTAMP_TZ".split())
+INTEGERS = frozenset("BIGINT INT INTEGER SMALLINT TINYINT".split())
+NUMERIC = INTEGERS | frozenset("DECIMAL DOUBLE FLOAT NUMBER NUMERIC REAL".split())
+OBJECTS = frozenset("ARRAY BINARY GEOGRAPHY JSON MAP OBJECT STRUCT VARBINARY VARIANT VECTOR VOID".split())
 METRIC_WORDS = {
-    "avg": frozenset("average avg mean typical expected".split()),
-    "count": frozenset("count number headcount volume".split()),
-    "distinct": frozenset("distinct unique deduplicated".split()),
-    "sum": frozenset("total sum revenue sales amount gmv margin profit turnover".split()),
-    "product": frozenset("multiply multiplied times product net extended".split()),
+    "avg": frozenset("average avg expected mean typical".split()),
+    "count": frozenset("count headcount number volume".split()),
+    "distinct": frozenset("deduplicated distinct unique".split()),
+    "sum": frozenset("amount gmv margin profit revenue sales sum total turnover".split()),
+    "product": frozenset("extended multiplied multiply net product times".split()),
 }
 METRIC_PHRASES = {"avg": ("per order", "per customer"), "count": ("number of", "how many"), "product": ("product of",)}

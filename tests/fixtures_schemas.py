@@ -4,7 +4,7 @@ SCHEMAS = {
     "star": ("dim_customer(customer_key NUMBER*, customer_name STRING, customer_segment STRING) dim_product(product_key NUMBER*, product_name STRING, category STRING) dim_date(date_key NUMBER*, calendar_date DATE, fiscal_week NUMBER) fact_orders(order_id NUMBER*, order_date_key NUMBER, customer_key NUMBER, product_key NUMBER, order_amount NUMBER)", "fact_orders>dim_customer fact_orders>dim_date fact_orders>dim_product", 0.6),
     "tpch": ("customer(c_custkey NUMBER*, c_nationkey NUMBER) orders(o_orderkey NUMBER*, o_custkey NUMBER) lineitem(l_orderkey NUMBER*, l_linenumber NUMBER*, l_partkey NUMBER, l_suppkey NUMBER) part(p_partkey NUMBER*) supplier(s_suppkey NUMBER*, s_nationkey NUMBER) nation(n_nationkey NUMBER*, n_regionkey NUMBER) region(r_regionkey NUMBER*)", "customer>nation lineitem>orders lineitem>part lineitem>supplier nation>region orders>customer supplier>nation", 0.6),
     "bridge": ("orders(order_id NUMBER*, customer_id NUMBER) products(product_id NUMBER*, sku STRING) order_items(order_id NUMBER*, product_id NUMBER*, quantity NUMBER)", "order_items>orders order_items>products", 0.6),
-    "snowflake": ("dim_customer(customer_key NUMBER*, current_address_key NUMBER) dim_customer_attributes(customer_key NUMBER*, email STRING, phone STRING) dim_customer_address(address_key NUMBER*, street STRING, city STRING) fact_subscription(subscription_id NUMBER*, customer_key NUMBER, start_date_key NUMBER) dim_date(date_key NUMBER*, calendar_date DATE)", "dim_customer>dim_customer_address dim_customer>dim_customer_attributes fact_subscription>dim_customer fact_subscription>dim_date", 0.6),
+    "hub_and_spoke": ("dim_customer(customer_key NUMBER*, current_address_key NUMBER) dim_customer_attributes(customer_key NUMBER*, email STRING, phone STRING) dim_customer_address(address_key NUMBER*, street STRING, city STRING) fact_subscription(subscription_id NUMBER*, customer_key NUMBER, start_date_key NUMBER) dim_date(date_key NUMBER*, calendar_date DATE)", "dim_customer>dim_customer_address dim_customer>dim_customer_attributes fact_subscription>dim_customer fact_subscription>dim_date", 0.6),
     "crm": ("accounts(account_id STRING*, parent_account_id STRING) opportunities(opportunity_id STRING*, account_id STRING, owner_user_id STRING) contacts(contact_id STRING*, account_id STRING, owner_user_id STRING) users(user_id STRING*, manager_id STRING)", "contacts>accounts contacts>users opportunities>accounts opportunities>users !accounts>accounts", 0.5),
     "ledger": ("gl_journal_entry(journal_entry_id NUMBER*, batch_id NUMBER, entered_by_employee_id NUMBER) gl_journal_line(journal_entry_id NUMBER*, journal_line_number NUMBER*, account_id NUMBER, cost_center_id NUMBER) dim_account(account_id NUMBER*, account_type STRING) dim_cost_center(cost_center_id NUMBER*, division STRING) dim_employee(employee_id NUMBER*, manager_employee_id NUMBER)", "gl_journal_entry>dim_employee gl_journal_line>dim_account gl_journal_line>dim_cost_center gl_journal_line>gl_journal_entry", 0.6),
     "shop_floor": ("prod_order(prod_order_id NUMBER*, item_id NUMBER, customer_id NUMBER) work_order(work_order_id NUMBER*, prod_order_id NUMBER, machine_id NUMBER) machine(machine_id NUMBER*, work_center_id NUMBER) work_center(work_center_id NUMBER*, plant_id NUMBER) bom_component(prod_order_id NUMBER*, component_id NUMBER*)", "bom_component>prod_order machine>work_center work_order>machine work_order>prod_order", 0.6),
