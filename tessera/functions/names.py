@@ -17,7 +17,7 @@ from . import rules as R
 def identifier_tokens(name: str, drop: frozenset[str] = frozenset()) -> list[str]:
     """Upper-case tokens, split at other characters and at camel humps; a first token in ``drop`` goes."""
     spaced = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", name)
-    tokens = [t.upper() for t in re.split(r"[^0-9A-Za-z]+", spaced) if t]
+    tokens = re.findall("[0-9A-Z]+", spaced.upper())
     return tokens[1:] if len(tokens) > 1 and tokens[0] in drop else tokens
 
 
@@ -53,7 +53,7 @@ def singularize(token: str) -> str:
     t = token.upper()
     if t.endswith("IES") and len(t) > 4:
         return t[:-3] + "Y"
-    if t.endswith(("SSES", "XES", "ZES", "CHES", "SHES")):
+    if re.search("(SS|X|Z|[CS]H)ES$", t):
         return t[:-2]
     return t[:-1] if t.endswith("S") and not t.endswith(("SS", "US", "IS")) and len(t) > 3 else t
 

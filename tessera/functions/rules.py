@@ -4,7 +4,7 @@ GENERIC_TOKENS = frozenset("CODE ID KEY NAME NUMBER VALUE".split())
 TABLE_PREFIXES = frozenset("BRG BRIDGE DIM DW FACT FCT HUB LNK OD ODS SAT STG T TBL TMP TMPV VIEW VW".split())
 #: Words that describe a table without naming its entity.
 TABLE_SUFFIXES = frozenset("DATA INFO LIST MASTER PROFILE TABLE".split())
-KEY_SUFFIXES = ("KEY", "ID", "CODE", "NO", "NUM", "NBR", "NUMBER", "NR", "ABBR", "SEQ", "REF", "IDX", "UUID", "GUID", "SK", "PK")
+KEY_SUFFIXES = tuple("KEY ID CODE NO NUM NBR NUMBER NR ABBR SEQ REF IDX UUID GUID SK PK".split())
 NATURAL_SUFFIXES = frozenset("ABBR CODE NBR NO NR NUM".split())
 SURROGATES = frozenset("AUTO_ID ENTITY_ID RECORD_ID ROW_ID SEQUENCE_ID SERIAL_ID UNIQUE_ID".split())
 NOT_IDENTIFIERS = frozenset("ADDRESS AMOUNT AMT AVAIL BAL BALANCE COMMENT COST DATE DESC DESCRIPTION EMAIL NAME PHONE PRICE QTY QUANTITY TEXT TIME TIMESTAMP".split())
@@ -32,7 +32,7 @@ ROLE_WORDS = {
 }
 OPTIONAL_WORDS = frozenset("ALTERNATE BACKUP COUPON DISCOUNT FALLBACK OPTIONAL PROMO PROMOTION SECONDARY TEMP TMP".split())
 FILTER_SUFFIXES = frozenset("CATEGORY CODE FLAG LEVEL MODE PRIORITY SEGMENT STATUS TYPE".split())
-NULLISH = ("", "NULL", "NONE", "NAN", "NA", "N/A", "NOT AVAILABLE")
+NULLISH = tuple("|N/A|NA|NAN|NONE|NOT AVAILABLE|NULL".split("|"))
 NOISE_TABLES = (
     r"^(tmp|temp|test|bak|backup|old|copy|scratch|sandbox|debug|dummy|sample|stg|staging)_",
     r"_(tmp|temp|test|bak|backup|old|copy|archive|archived|hist|snapshot|deprecated|debug|dummy)$",

@@ -11,6 +11,8 @@ from ..plans.model import NamedFilter
 from ..sources.catalog import RawTable
 
 DAYS = 30
+#: Column -> all its values.
+Domains = dict[str, list[str]]
 
 
 def categorical_filter(c: str, kind: str, values: list[str]) -> NamedFilter | None:
@@ -42,7 +44,7 @@ def suggest(t: RawTable, exact_values: dict[str, list[str]] | None = None) -> li
     return out
 
 
-def small_domains(df: DataFrame, most: int = 5) -> dict[str, list[str]]:
+def small_domains(df: DataFrame, most: int = 5) -> Domains:
     """Columns with at most ``most`` distinct values, with all of them: a sketch first, exact sets for the few that may be."""
     from .profile import plain_columns
 

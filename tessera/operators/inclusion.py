@@ -83,7 +83,7 @@ class ColumnProfile:
 
     @property
     def key_like(self) -> bool:
-        return self.ndv >= 2 and self.uniqueness >= 0.9
+        return self.uniqueness >= 0.9 and self.ndv > 1
 
 
 def can_contain(child: ColumnProfile | None, parent: ColumnProfile | None, tolerance: float = 1.05) -> bool:

@@ -148,7 +148,7 @@ def view(spark: SparkSession, table: Table, source: DataFrame | None = None) ->
     return df.selectExpr(*[projection(c) for c in rows])
 
 
-def generated_selects(spark: SparkSession, table: Table, limit: int) -> list[str]:
+def generated_selects(spark: SparkSession, table: Table, limit: int = 10):
     """Up to two queries that try out all fields: the rows, and the aggregates."""
     rows, aggs = split_aggregates(spark, table)
     base = base_name(table.base_table)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -22,9 +23,12 @@ from .streaming.incremental import windowed_profile
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 RELATIONAL = "region nation customer supplier part orders lineitem".split()
 EDGES = [
-    ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
-    ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("labels", "doc_id", "documents", "doc_id"),
-]
+    tuple(re.split("[.>]", e))
+    for e in (
+        "orders.o_custkey>customer.c_custkey lineitem.l_orderkey>orders.o_orderkey lineitem.l_partkey>part.p_partkey lineitem.l_suppkey>supplier.s_suppkey "
+        "customer.c_nationkey>nation.n_nationkey supplier.s_nationkey>nation.n_nationkey nation.n_regionkey>region.r_regionkey labels.doc_id>documents.doc_id"
+    ).split()
+]
 KEY_COLUMNS = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"]}
 REVENUE = "sum(cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(4,2))))"
 

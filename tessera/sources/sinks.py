@@ -31,7 +31,7 @@ def delete_file(spark: SparkSession, path: str) -> bool:
 
 def write_model(spark: SparkSession, model: SemanticModel, folder: str, name: str | None = None) -> str:
     """Writes the model with a banner; returns the path, which has the time in it unless a name is given."""
-    stamp = dt.datetime.now(dt.UTC).strftime("%Y%m%d%H%M%S")
+    stamp = f"{dt.datetime.now(dt.UTC):%Y%m%dT%H%M%S}"
     path = f"{folder.rstrip('/')}/{name or f'{model.name}_{stamp}'}.yaml"
     write_text(spark, path, "# Semantic model. Fields marked 'fill in' want a description.\n" + mark_placeholders(to_yaml(model)))
     return path

@@ -35,7 +35,7 @@ def definitions(text: str) -> list[dict]:
         for part in body.split(", "):
             col, kind = part.split(" ", 1)
             kind, _, values = kind.partition("=")
-            key = kind.endswith("*")
+            key = kind.endswith("*")  # a star stands before the values
             got = []
             if ".." in values:
                 a, b = map(int, values.split(".."))

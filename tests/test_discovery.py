@@ -8,7 +8,7 @@ from tessera.operators import inclusion as I
 from tessera.sources import catalog
 from tests.fixtures_schemas import SCHEMAS, definitions
 
-GOLDEN = {("orders", "customer"), ("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier"), ("customer", "nation"), ("supplier", "nation"), ("nation", "region"), ("labels", "documents")}
+GOLDEN = {tuple(e.split(">")) for e in "orders>customer lineitem>orders lineitem>part lineitem>supplier customer>nation supplier>nation nation>region labels>documents".split()}
 
 
 def table(name, *cols):
@@ -61,23 +61,19 @@ def test_composite_key_edge():
 
 
 def test_self_reference_needs_values():
-    t = {"name": "employee", "columns": [{"name": "employee_id", "type": "INT", "primary_key": True, "values": [1, 2, 3, 4]}, {"name": "manager_id", "type": "INT", "values": [1, 1, 2, None]}]}
-    edge = D.discover_from_definitions([t]).edges[0]
+    edge = D.discover_from_definitions(definitions("employee(employee_id INT*=1/2/3/4, manager_id INT=1/1/2/NULL)")).edges[0]
     assert edge.is_self and edge.keys == [("manager_id", "employee_id")] and edge.join_type == "left_outer"
-    bare = {"name": "employee", "columns": [{"name": "employee_id", "type": "INT", "primary_key": True}, {"name": "manager_id", "type": "INT"}]}
-    found = D.discover_from_definitions([bare])
+    found = D.discover_from_definitions(definitions("employee(employee_id INT*, manager_id INT)"))
     assert not found.edges and found.missed[0]["column"] == "manager_id"
 
 
 def test_zero_overlap_vetoes():
-    a = {"name": "orders", "columns": [{"name": "order_id", "type": "INT", "values": [1, 2, 3]}, {"name": "customer_id", "type": "INT", "values": [900, 901, 902]}]}
-    b = {"name": "customers", "columns": [{"name": "customer_id", "type": "INT", "values": [1, 2, 3]}]}
-    assert not D.discover_from_definitions([a, b]).edges
+    apart = "orders(order_id INT=1/2/3, customer_id INT=900/901/902) customers(customer_id INT=1/2/3)"
+    assert not D.discover_from_definitions(definitions(apart)).edges and D.discover_from_definitions(definitions(apart.replace("900", "2"))).edges
 
 
 def test_join_types_and_cardinality_without_data():
-    nulls = {"name": "orders", "columns": [{"name": "order_id", "type": "INT", "primary_key": True}, {"name": "customer_id", "type": "INT", "values": [1, "N/A", 2]}]}
-    found = D.discover_from_definitions([nulls, table("customers", "customer_id*")])
+    found = D.discover_from_definitions(definitions("orders(order_id INT*, customer_id INT=1/NULL/2) customers(customer_id INT*)"))
     assert found.edges[0].join_type == "left_outer" and found.edges[0].cardinality == "many_to_one"
     one = D.discover_from_definitions([table("user", "user_id*", "name STRING"), table("user_settings", "user_id*", "theme STRING")])
     assert [(e.left, e.right, e.cardinality) for e in one.edges] == [("USER", "USER_SETTINGS", "one_to_one")]
