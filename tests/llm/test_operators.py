@@ -321,6 +321,8 @@ def test_simhash_against_brute_force(spark):
     assert all(want[i] == r for i, r in got.items())
     kept = ids(simhash.filter_documents(docs))
     assert kept == [i for i in range(n) if i not in got]
+    three = {r.doc_id: r.kept_doc_id for r in simhash.duplicate_pairs(docs, arity=3, number=300).collect()}
+    assert set(three) <= set(want) and len(three) >= 0.9 * len(want)
 
 
 def test_simhash_majority_and_bound():
