@@ -12,7 +12,7 @@ The default schedule holds the natural shares of tokens until a quarter of the t
 and then moves linearly to shares in proportion to the square root of a source's
 tokens.  The default ``T`` is the least for which every document is used at least once.
 
-A document's tokens are its UTF-8 bytes and one separator.  Prefix sums go over 4096 hash
+A document's tokens are its UTF-8 bytes and one separator.  Prefix sums go over 65,536 hash
 buckets a source and then within each bucket, so a hot source is spread over many
 tasks; sorting by position is a range sort.
 
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import materialize, own_name
 
 HOLD = 0.25
+#: Of the hash, for the buckets: 65,536 a source.  The order within a source doesn't depend on it.
+HEX_DIGITS = 4
 
 
 def default_knots(totals: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def _assigned(docs: DataFrame, tokens: Column, knots: DataFrame | None, total: i
     name = {k: own_name(docs, k) for k in ("h", "bucket", "source", "tokens", "begin", "supply", "parts", "share", "all", "epoch", "position", "upto", "first")}
     h = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
     rows = docs.withColumns({name["h"]: h, name["source"]: F.coalesce("source", F.lit("")), name["tokens"]: tokens})
-    rows = rows.withColumn(name["bucket"], F.substring(name["h"], 1, 3))
+    rows = rows.withColumn(name["bucket"], F.substring(name["h"], 1, HEX_DIGITS))
     buckets = materialize(
         rows.groupBy(F.col(name["source"]).alias("source"), F.col(name["bucket"]).alias("bucket")).agg(F.sum(name["tokens"]).alias("tokens")), "buckets"
     )
@@ -84,11 +86,12 @@ def _assigned(docs: DataFrame, tokens: Column, knots: DataFrame | None, total: i
     whole = F.lit(total).cast("long") if total is not None else F.ceil(F.max(F.col("supply").cast("double") / F.col("share"))).cast("long")
     per = materialize(per.crossJoin(per.agg(whole.alias("all"))), "schedule")
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = materialize(buckets.select("source", "bucket", before.alias("upto")), "offsets")
-    offsets = offsets.join(per, "source").select(*[F.col(c).alias(name[c] + "_o") for c in ("source", "bucket", "upto", "supply", "parts", "share", "all")])
+    offsets = buckets.select(F.col("source").alias(name["source"] + "_o"), F.col("bucket").alias(name["bucket"] + "_o"), before.alias(name["upto"] + "_o"))
+    per = per.select(F.col("source").alias(name["source"] + "_p"), *[F.col(c).alias(name[c] + "_o") for c in ("supply", "parts", "share", "all")])
     local = F.sum(name["tokens"]).over(Window.partitionBy(name["source"], name["bucket"]).orderBy(name["h"], "doc_id", name["tokens"]).rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn(name["begin"], local - F.col(name["tokens"]))
     rows = rows.join(offsets, (F.col(name["source"]) == F.col(name["source"] + "_o")) & (F.col(name["bucket"]) == F.col(name["bucket"] + "_o")))
+    rows = rows.join(per, F.col(name["source"]) == F.col(name["source"] + "_p"))
     o = lambda c: F.col(name[c] + "_o")
     rows = rows.withColumn(name["first"], F.col(name["begin"]) + o("upto"))
     first = F.col(name["first"])
