@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +27,22 @@ def as_text(df: DataFrame, c: str) -> Column:
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True, fraction: float | None = None, seed: int = 0) -> DataFrame:
-    """One row a column.  ``exact=False`` counts distinct values by a sketch, in one pass without a shuffle of values; ``fraction`` samples rows."""
+    """One row a column.  ``fraction`` samples rows.
+
+    ``exact=False`` counts distinct values by sketches: one pass for all columns, without a shuffle of values.  Exact
+    counts are one narrow aggregation for each column, which reads that column alone; all of
+    them in one aggregation would expand every row by the number of columns.
+    """
     cols = columns or plain_columns(df)
     df = df.select(cols)
     if fraction is not None:
         df = df.sample(fraction=fraction, seed=seed)
-    distinct = F.count_distinct if exact else F.approx_count_distinct
+    if exact:
+        return reduce(DataFrame.unionByName, [_one(df, [c], F.count_distinct) for c in cols])
+    return _one(df, cols, F.approx_count_distinct)
+
+
+def _one(df: DataFrame, cols: list[str], distinct) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(cols):
         aggs += [distinct(F.col(c)).alias(f"d{i}"), F.count(c).alias(f"c{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]

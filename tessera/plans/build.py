@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,20 +50,25 @@ def build_model(
     client=None,
     progress: Callable[[str, float], None] | None = None,
     min_confidence: float = 0.5,
+    max_workers: int = 4,
 ) -> SemanticModel:
     """Samples, classification, filters and relationships of all tables; with a client also descriptions (``enrich``)."""
     tell = progress or (lambda stage, share: None)
     raws, reserved = tables_from_frames(frames, primary_keys), parse.reserved_words(spark)
     model = SemanticModel(name=name, description="__")
-    for i, raw in enumerate(raws):
-        df = frames[raw.name]
+
+    def look(raw: RawTable) -> dict[str, list[str]]:
         got: dict[str, list[str]] = {}
-        for r in sample_values(df, max(1, n_sample_values)).orderBy("column_name", "position").collect():
+        for r in sample_values(frames[raw.name], max(1, n_sample_values)).orderBy("column_name", "position").collect():
             got.setdefault(r["column_name"], []).append(r["value"])
         for c in raw.columns:
             c.values = got.get(c.name, [])
-        model.tables.append(table_from_raw(raw, reserved, small_domains(df)))
-        tell("tables", (i + 1) / len(raws))
+        return small_domains(frames[raw.name])
+
+    with ThreadPoolExecutor(max_workers) as pool:  # the jobs of several tables at a time; the order stays
+        for i, (raw, domains) in enumerate(zip(raws, pool.map(look, raws), strict=True)):
+            model.tables.append(table_from_raw(raw, reserved, domains))
+            tell("tables", (i + 1) / len(raws))
     if allow_joins:
         # the sorted samples of two columns need not meet: evidence comes from whole tables instead
         bare = tables_from_frames(frames, primary_keys)

@@ -177,6 +177,8 @@ def sample_values(df: DataFrame, n: int = 10, columns: list[str] | None = None)
         for b in batches:
             for i in range(len(cols)):
                 values = pc.unique(b.column(i).drop_null())
+                if len(values) > n:
+                    values = values.take(pc.partition_nth_indices(values, pivot=n)[:n])
                 if len(values):
                     best[i] = set(sorted(best[i].union(values.to_pylist()))[:n])
         pairs = [(c, v) for c, values in zip(cols, best, strict=True) for v in values]
