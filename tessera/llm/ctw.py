@@ -2,18 +2,22 @@
 
 Every byte is decomposed into its eight bits, most significant first, so that a byte
 context has a binary tree of 255 nodes, each with the numbers of zeros and ones seen
-there in the whole corpus.  Contexts are the last 0, 1, ... ``DEPTH`` = 2 bytes (zero bytes stand
-before a text's beginning).  A node's Krichevsky-Trofimov estimate has the
+there in the whole corpus.  Contexts are the last 0, 1, ... ``depth`` bytes (zero bytes stand
+before a text's beginning); the query's depth is ``DEEP`` = 6.  A node's Krichevsky-Trofimov estimate has the
 probability Pe of its counts; its weighted probability is ``Pw = Pe / 2 + prod(Pw of the
 contexts one byte longer) / 2``, and ``Pw = Pe`` at the greatest depth.  The
 probability of the next bit mixes the estimates of all depths by the weights this
 gives, from the deepest to the shallowest.  The code length of a byte is the sum over
 its bits, that of a text the sum over its bytes; reported per byte.
 
-Counts are gathered from all documents by a distributed aggregation over (two bytes of context,
-byte).  There are at most 2^24 such counts whatever the corpus, so the model
-is finished on the driver; the executors get a table of the code length of each byte in
-each context that occurs (at most 64 MB).  Both passes work on Arrow's byte
+What is gathered grows with the corpus.  A gram is a byte with ``depth`` bytes of context, the last
+byte first, so that grams of a context at any depth lie together.  Texts are written to the shared
+folder in slices of at most ``SLICE`` bytes, with each slice's distinct grams and counts as compressed
+runs, one for each of ``BUCKETS`` hash buckets of the last three bytes.  A bucket has whole subtrees from the third
+byte on: one aggregation by bucket gives what depths 0 to 2 need of them (bounded, finished on the
+driver), a second the code length of every gram, which goes back to the slices that have it and is
+joined with their texts.  No task holds the whole tree.  For depth 2 all counts, at most 2^24,
+are finished on the driver.  Texts are handled as Arrow's byte
 buffers in numpy, without a Python object for a text.
 
 Defined results.  Null and empty texts have no bytes: their code length is 0 and that per
@@ -30,7 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Of score() by default, and of the part of the tree that the driver finishes.
 DEPTH = 2
+#: Of the query; a gram of seven bytes is a long.
+DEEP = 6
+SLICE = 32 << 20
+BUCKETS = 512
 #: Bytes handled at a time.
 BLOCK = 4 << 20
 
@@ -163,8 +172,7 @@ def model(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, table
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, code_bits, bits_per_byte) for every row, by the model of all of them."""
+def _score_two(docs: DataFrame) -> DataFrame:
     found = counts(docs).toArrow()  # bounded by 2^24 rows
     shipped = docs.sparkSession.sparkContext.broadcast(model(found.column(0).to_numpy(), found.column(1).to_numpy()))
 
@@ -186,7 +194,264 @@ def score(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, code_bits double, bits_per_byte double")
 
 
+def deep_grams(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """last byte, the one before it, ... to depth, and the byte itself, at each place; starts: first places of the texts."""
+    out = data.astype(np.int64)
+    since = np.zeros(len(data), np.int64)
+    inside = starts[starts < len(data)]
+    since[inside] = inside
+    since = np.arange(len(data)) - np.maximum.accumulate(since)
+    for d in range(1, depth + 1):
+        back = np.zeros(len(data), np.int64)
+        back[d:] = data[:-d]
+        back[since < d] = 0
+        out |= back << (8 * (depth + 1 - d))
+    return out
+
+
+def add_up(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, rising, and the sum of each."""
+    key, n = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *sums])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[cut], np.add.reduceat(n[order], cut) if len(key) else n
+
+
+def distinct(data: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    g = np.sort(deep_grams(data, off[:-1], depth))
+    cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    return g[cut], np.diff(np.concatenate([cut, [len(g)]]))
+
+
+def bucket_of(gram: np.ndarray, depth: int) -> np.ndarray:
+    return (((gram >> (8 * (depth - 2))) * 0x9E3779B1 & 0xFFFFFFFF) * BUCKETS >> 32).astype(np.int16)
+
+
+def squeeze(gram: np.ndarray, n: np.ndarray) -> bytes:
+    """Rising grams as differences, and counts, by planes of bytes."""
+    both = np.concatenate([np.diff(gram, prepend=0), n]).astype("<i8")
+    return pa.compress(both.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueeze(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer(pa.decompress(blob, decompressed_size=16 * n, codec="zstd", asbytes=True), np.uint8)
+    both = np.ascontiguousarray(flat.reshape(8, -1).T).view("<i8").ravel()
+    return np.cumsum(both[:n]), both[n:]
+
+
+def sliced(docs: DataFrame, depth: int) -> DataFrame:
+    """Rows (slice, doc_id, text) and, with a bucket, (slice, bucket, size, grams)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        names = ["slice", "doc_id", "text", "bucket", "size", "grams"]
+        at, held, keys, sums = TaskContext.get().partitionId() << 32, 0, [], []
+
+        def finish() -> pa.RecordBatch:
+            gram, n = add_up(keys, sums)
+            bucket = bucket_of(gram, depth)
+            order = np.argsort(bucket, kind="stable")
+            gram, n, bucket = gram[order], n[order], bucket[order]
+            cut = [*np.flatnonzero(np.diff(bucket, prepend=-1)), len(gram)]
+            blobs = [squeeze(gram[a:b], n[a:b]) for a, b in zip(cut, cut[1:])]
+            k = len(blobs)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([at] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.diff(cut).astype(np.int32)), pa.array(blobs, pa.binary())], names=names
+            )
+
+        for b in batches:
+            for first, end, data, off in buffers(b.column(1)):
+                if held and held + len(data) > SLICE:
+                    yield finish()
+                    at, held, keys, sums = at + 1, 0, [], []
+                if len(data):
+                    k, n = distinct(data, off, depth)
+                    keys.append(k)
+                    sums.append(n)
+                    if len(keys) == 8:
+                        k, n = add_up(keys, sums)
+                        keys, sums = [k], [n]
+                    held += len(data)
+                k = end - first
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at] * k, pa.int64()), b.column(0).slice(first, k), b.column(1).slice(first, k).cast(pa.string()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names
+                )
+        if held:
+            yield finish()
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "slice long, doc_id long, text string, bucket int, size int, grams binary")
+
+
+def log_kt_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log_kt of whole numbers: small ones from tables."""
+    if not len(a):
+        return np.zeros(0)
+    most = int(min(max(a.max(), b.max()) + 1, 1 << 14))
+    half, whole = log_gamma(np.arange(most) + 0.5), log_gamma(np.arange(2 * most) + 1.0)
+    low = (a < most) & (b < most)
+    x, y = np.where(low, a, 0), np.where(low, b, 0)
+    out = half[x] + half[y] - whole[x + y] - np.log(np.pi)
+    if not low.all():
+        out[~low] = log_kt(a[~low], b[~low])
+    return out
+
+
+def subtrees(gram: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From distinct grams, rising, with whole subtrees from depth 3: (two bytes of context << 8 | node, log Pw) of the nodes at depth 3, and the probability of a one by depths 3 and more at each bit of each gram, (8, grams)."""
+    # level by level, deepest first: entries (context, byte) with counts, and the place of each one's parent
+    levels, keys, num = [], gram, n
+    for d in range(depth, 2, -1):
+        parent, up = None, None
+        if d > 3:
+            short = (keys >> 16 << 8) | (keys & 255)
+            parent, up = np.unique(short, return_inverse=True)
+        levels.append((keys, num, up))
+        if d > 3:
+            keys, num = parent, np.bincount(up, num, len(parent)).astype(np.int64)
+    sums, ones = [], np.zeros((8, len(gram)))
+    for bit in range(8):
+        log_pw, parent_node, path, low = None, None, np.arange(len(gram)), None
+        for keys, num, up in levels:
+            prefix = keys >> (8 - bit)
+            new = np.concatenate([[True], prefix[1:] != prefix[:-1]])
+            start, node = np.flatnonzero(new), np.cumsum(new) - 1
+            o = np.add.reduceat(num * ((keys >> (7 - bit)) & 1), start)
+            z = np.add.reduceat(num, start) - o
+            pe, p = log_kt_counts(z, o), (o + 0.5) / (z + o + 1.0)
+            if log_pw is None:
+                log_pw, low = pe, p[node]
+            else:
+                product = np.bincount(node[parent_node], log_pw, len(start))
+                own = 1 / (1 + np.exp(-np.clip(pe - product, -700, 700)))
+                log_pw = np.log(0.5) + np.logaddexp(pe, product)
+                low = (own * p)[node[path]] + (1 - own)[node[path]] * low
+            if up is not None:
+                parent_node = up[start]  # a place of the parent level, whose node it belongs to
+                path = up[path]
+            else:
+                k = keys[start]
+                sums.append(((k >> 16 << 8) | ((1 << bit) - 1 + ((k & 255) >> (8 - bit))), log_pw))
+        ones[bit] = low
+    return np.concatenate([s[0] for s in sums]), np.concatenate([s[1] for s in sums]), ones
+
+
+def top(key: np.ndarray, node: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts of two bytes, a, b): the probability of a one is a + b * that by the longer contexts; a, b: (contexts, 255).
+
+    key: last byte << 8 | the one before; value: the sum of log Pw one byte deeper at node, or the count of the byte node - 256.
+    """
+    ctx = np.unique(key)
+    row, counted = np.searchsorted(ctx, key), node >= 256
+    deep, product2 = np.zeros((len(ctx), 256)), np.zeros((len(ctx), 255))
+    deep[row[counted], node[counted] - 256] = value[counted]
+    product2[row[~counted], node[~counted]] = value[~counted]
+    last = ctx >> 8
+    mid = np.zeros((256, 256))
+    np.add.at(mid, last, deep)
+    share = lambda beta: 1 / (1 + np.exp(-np.clip(beta, -700, 700)))
+    kt = lambda z, o: (o + 0.5) / (z + o + 1.0)
+    product1, a, b = np.zeros((256, 255)), np.zeros((len(ctx), 255)), np.zeros((len(ctx), 255))
+    for at in range(0, len(ctx), 2048):
+        z, o = nodes(deep[at : at + 2048])
+        pe = log_kt(z, o)
+        p = product2[at : at + 2048]
+        np.add.at(product1, last[at : at + 2048], np.log(0.5) + np.logaddexp(pe, p))
+        own = share(pe - p)
+        a[at : at + 2048], b[at : at + 2048] = own * kt(z, o), 1 - own
+    z1, o1 = nodes(mid)
+    pe1 = log_kt(z1, o1)
+    z0, o0 = nodes(mid.sum(0)[None])
+    own1 = share(pe1 - product1)
+    own0 = share(log_kt(z0, o0) - (np.log(0.5) + np.logaddexp(pe1, product1)).sum(0)[None])
+    p0, p1 = kt(z0, o0), kt(z1, o1)
+    a = own0 * p0 + (1 - own0) * ((own1 * p1)[last] + (1 - own1)[last] * a)
+    return ctx, a, (1 - own0) * (1 - own1)[last] * b
+
+
+def _score_deep(docs: DataFrame, depth: int) -> DataFrame:
+    from .common import materialize, tidy
+
+    written = materialize(sliced(docs, depth), "slices")
+    grams_of = written.filter("bucket IS NOT NULL").select("slice", "bucket", "size", "grams")
+
+    def gathered(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        runs = [unsqueeze(blob, size) for blob, size in zip(t.column("grams").to_pylist(), t.column("size").to_pylist(), strict=True)]
+        return [r[0] for r in runs], *add_up([r[0] for r in runs], [r[1] for r in runs])
+
+    def sums(t: pa.Table) -> pa.Table:
+        _, gram, n = gathered(t)
+        at, value, _ = subtrees(gram, n, depth)
+        at, where = np.unique(at, return_inverse=True)
+        value = np.bincount(where, value, len(at))
+        byte = (gram >> (8 * (depth - 1)) << 8) | (gram & 255)
+        byte, where = np.unique(byte, return_inverse=True)
+        key = np.concatenate([at >> 8, byte >> 8]).astype(np.int32)
+        node = np.concatenate([at & 255, 256 + (byte & 255)]).astype(np.int32)
+        return pa.table({"key": key, "node": node, "value": np.concatenate([value, np.bincount(where, n, len(byte))])})
+
+    found = grams_of.groupBy("bucket").applyInArrow(sums, "key int, node int, value double").groupBy("key", "node").agg(F.sum("value").alias("value")).toArrow()  # depths 0 to 2: bounded whatever the corpus
+    shipped = docs.sparkSession.sparkContext.broadcast(top(*(found.column(i).to_numpy() for i in range(3))))
+
+    def lengths(t: pa.Table) -> pa.Table:
+        ctx, a, b = shipped.value
+        runs, gram, n = gathered(t)
+        _, _, ones = subtrees(gram, n, depth)
+        row, byte, bits = np.searchsorted(ctx, gram >> (8 * (depth - 1))), gram & 255, np.zeros(len(gram))
+        for bit in range(8):
+            node = (1 << bit) - 1 + (byte >> (8 - bit))
+            p = a[row, node] + b[row, node] * ones[bit]
+            bits -= np.log2(np.where((byte >> (7 - bit)) & 1, p, 1 - p))
+        bits = bits.astype("<f4")
+        return pa.table({"slice": t.column("slice"), "bucket": t.column("bucket"), "bits": pa.array([bits[np.searchsorted(gram, r)].tobytes() for r in runs], pa.binary())})
+
+    bits_of = grams_of.groupBy("bucket").applyInArrow(lengths, "slice long, bucket int, bits binary")
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        blocks = [x for chunk in texts.column("text").chunks for x in buffers(chunk)]
+        keys, none = [], []
+        for _, _, data, off in blocks:
+            if len(data):
+                k, _ = distinct(data, off, depth)
+                keys.append(k)
+                none.append(np.zeros(len(k), np.int64))
+                if len(keys) == 8:
+                    k, z = add_up(keys, none)
+                    keys, none = [k], [z]
+        gram, _ = add_up(keys, none)
+        order = np.argsort(bucket_of(gram, depth), kind="stable")
+        found = found.sort_by("bucket")
+        cost = np.zeros(len(gram))
+        cost[order] = np.frombuffer(b"".join(found.column("bits").to_pylist()), "<f4")
+        size, bits = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for _, _, data, off in blocks:
+            size.append(np.diff(off))
+            bits.append(np.zeros(len(off) - 1))
+            if len(data):
+                g = deep_grams(data, off[:-1], depth)
+                by = np.argsort(g)
+                each = np.empty(len(g))
+                each[by] = cost[np.searchsorted(gram, g[by])]
+                full = np.flatnonzero(np.diff(off))
+                bits[-1][full] = np.add.reduceat(each, off[full])
+        size, bits = np.concatenate(size), np.concatenate(bits)
+        per = pa.array(np.where(size > 0, bits / np.maximum(size, 1), np.nan), mask=size == 0)
+        tidy()
+        return pa.table({"doc_id": texts.column("doc_id"), "n_bytes": size, "code_bits": bits, "bits_per_byte": per})
+
+    texts = written.filter("bucket IS NULL").select("slice", "doc_id", "text")
+    return texts.groupBy("slice").cogroup(bits_of.groupBy("slice")).applyInArrow(run, "doc_id long, n_bytes long, code_bits double, bits_per_byte double")
+
+
+def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(doc_id, n_bytes, code_bits, bits_per_byte) for every row, by the model of all of them; depth: 2 to 6 bytes of context."""
+    if not 2 <= depth <= DEEP:
+        raise ValueError("depth must be from 2 to 6")
+    return _score_two(docs) if depth == DEPTH else _score_deep(docs, depth)
+
+
 def op4_lm_scoring(spark, sf_dir):
     from .common import table
 
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(spark, sf_dir, "documents"), DEEP)

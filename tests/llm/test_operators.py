@@ -260,6 +260,64 @@ def test_ctw_by_brute_force(spark):
     assert ctw.score(empty(spark)).count() == 0
 
 
+def brute_ctw_deep(texts, target, depth):
+    """brute_ctw for any depth."""
+    cnt, seen = Counter(), defaultdict(set)
+    for t in (x.encode() for x in texts):
+        p = bytes(depth) + t
+        for i in range(len(t)):
+            for k in range(8):
+                node, x = (1 << k) | (t[i] >> (8 - k)), (t[i] >> (7 - k)) & 1
+                for d in range(depth + 1):
+                    c = p[i + depth - d : i + depth]
+                    cnt[c, node, x] += 1
+                    if c:
+                        seen[c[1:], node].add(c)
+    memo = {}
+
+    def kt(c, n):
+        a, b = cnt[c, n, 0], cnt[c, n, 1]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def pw(c, n):
+        if (c, n) not in memo:
+            memo[c, n] = kt(c, n) if len(c) == depth else math.log(0.5) + np.logaddexp(kt(c, n), sum(pw(q, n) for q in seen[c, n]))
+        return memo[c, n]
+
+    out, t = 0.0, target.encode()
+    p = bytes(depth) + t
+    for i in range(len(t)):
+        for k in range(8):
+            node, pr = (1 << k) | (t[i] >> (8 - k)), None
+            for d in range(depth, -1, -1):
+                c = p[i + depth - d : i + depth]
+                e = (cnt[c, node, 1] + 0.5) / (cnt[c, node, 0] + cnt[c, node, 1] + 1)
+                own = 0.0 if d == depth else 1 / (1 + math.exp(-(kt(c, node) - sum(pw(q, node) for q in seen[c, node]))))
+                pr = e if d == depth else own * e + (1 - own) * pr
+            out -= math.log2(pr if (t[i] >> (7 - k)) & 1 else 1 - pr)
+    return out
+
+
+@pytest.mark.parametrize("depth", [3, 6])
+def test_ctw_deep_by_brute_force(spark, monkeypatch, depth):
+    monkeypatch.setattr(ctw, "SLICE", 40)  # several slices
+    monkeypatch.setattr(ctw, "BLOCK", 16)
+    texts = ["hello wörld, hello there", "the other", "xyz " * 7, "the other", "abcdefgh abcdefgx"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(9, ""), (10, None), (None, "the")], "doc_id long, text string").withColumn("slice", F.lit("mine")).coalesce(2)
+    got = {r.doc_id: r for r in ctw.score(docs, depth).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].code_bits == pytest.approx(brute_ctw_deep([*texts, "the"], t, depth), rel=1e-5)
+        assert got[i].n_bytes == len(t.encode()) and got[i].bits_per_byte == pytest.approx(got[i].code_bits / got[i].n_bytes)
+    assert got[9].bits_per_byte is None and got[10].code_bits == 0 and None in got and len(got) == 8
+    assert ctw.score(empty(spark), depth).count() == 0
+
+
+def test_lm_scoring_uses_long_contexts(spark, small):
+    rows = registry.QUERIES["op4_lm_scoring"](spark, small).agg(F.sum("code_bits"), F.sum("n_bytes")).first()
+    two = ctw.score(common.table(spark, small, "documents")).agg(F.sum("code_bits"), F.sum("n_bytes")).first()
+    assert rows[1] == two[1] and rows[0] < 0.9 * two[0]
+
+
 def test_ctw_probabilities_sum_to_one_and_blocks_dont_matter(monkeypatch):
     g = ctw.grams(np.frombuffer(b"abracadabra", np.uint8), np.array([0]))
     k, n = np.unique(g, return_counts=True)
