@@ -34,8 +34,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in the sequences."""
-    return packing.pack(docs)
+    """The place of every piece of every document in the sequences, which are in the order of training by stretches."""
+    return packing.pack_in_order(docs)
 
 
 STAGES = [

@@ -19,6 +19,12 @@ The plan is a list of runs (length, ranks) -> sequences.  Pieces get their rank
 those of their length from a range sort with per-partition counts, so no length
 is gathered in one task, and find their run by binary search.
 
+``pack_in_order`` keeps an order of training.  The rows of its input, in their order, lie end to end; pieces are
+planned, as above, within consecutive stretches of ``STRETCH`` sequences' tokens, each by one task, and
+sequences are numbered by stretch and then by the mean position of their pieces.  Equal lengths are
+ranked by position.  A copy of a piece that would share a sequence with another is moved to the fullest other
+sequence of its stretch with room, or to a new one.
+
 Defined results.  A null or empty text is its separator alone: every row is in the
 result.  Repeated rows are packed one by one.  Equal lengths are ranked by doc_id (nulls
 first), piece, and position.  Full pieces have sequences of their own.  Extra columns
@@ -31,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +46,8 @@ from .common import materialize
 CAPACITY = 8192
 EPS = 1 / 8
 GROUPS = 16
+#: Sequences' tokens that are planned together when the order is kept.
+STRETCH = 2048
 
 
 def linear_groups(lengths: list[tuple[int, int]], groups: int) -> list[list[tuple[int, int]]]:
@@ -260,6 +269,93 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, eps: float = EPS, groups: in
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, length int, sequence long, seq_offset int")
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, tokens, begin): the token at which each row begins; the order is that of the rows in the files of docs."""
+    tokens = (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("tokens")
+
+    def rows(df: DataFrame, *columns) -> DataFrame:
+        at = df.metadataColumn("_metadata")
+        return df.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, F.regexp_extract(at["file_name"], r"^part-(\d+)", 1).cast("int").alias("part"), at["file_name"].alias("file"), at["row_index"].alias("row"))
+
+    try:
+        slim = rows(docs, tokens)
+        slim.schema  # noqa: B018
+    except AnalysisException:  # not a table of files
+        slim = rows(materialize(docs.select("doc_id", tokens), "ordered"), "tokens")
+    files = slim.groupBy("part", "file").agg(F.sum("tokens").alias("n"))  # as many rows as files
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select(F.col("file").alias("o_file"), before.alias("before"))
+    within = F.sum("tokens").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
+    placed = slim.withColumn("within", within)
+    return placed.join(files, F.col("file") == F.col("o_file")).select("doc_id", "tokens", (F.col("before") + F.col("within")).alias("begin"))
+
+
+def pack_stretch(doc: np.ndarray, known: np.ndarray, piece: np.ndarray, length: np.ndarray, position: np.ndarray, capacity: int, eps: float, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of every piece; pieces are sorted by length and position; known: doc isn't null."""
+    r = plan(dict(zip(*(x.tolist() for x in np.unique(length, return_counts=True)), strict=True)), capacity, eps, groups)
+    rank = np.arange(len(length)) - np.searchsorted(length, length)
+    wide = int(r[:, 1].max()) + int(rank.max()) + 1
+    k = np.searchsorted(r[:, 0] * wide + r[:, 1], length * wide + rank, "right") - 1
+    i = rank - r[k, 1]
+    sequence, offset = r[k, 3] + i // r[k, 4], r[k, 5] + i % r[k, 4] * length
+    # copies of a piece don't share a sequence
+    by = np.lexsort((position, piece, doc, sequence))
+    a, b = by[:-1], by[1:]
+    again = b[(sequence[a] == sequence[b]) & (doc[a] == doc[b]) & (piece[a] == piece[b]) & known[a] & known[b]]
+    if len(again):
+        fill = np.bincount(sequence, length).astype(np.int64)
+        moved = set(zip(doc[again].tolist(), piece[again].tolist(), strict=True))
+        held: dict[tuple[int, int], set[int]] = {}
+        for key, at, ok in zip(zip(doc.tolist(), piece.tolist(), strict=True), sequence.tolist(), known.tolist(), strict=True):
+            if ok and key in moved:
+                held.setdefault(key, set()).add(at)
+        for j in again.tolist():
+            own = held[int(doc[j]), int(piece[j])]
+            fill[sequence[j]] -= length[j]
+            room = fill + length[j] <= capacity
+            room[list(own)] = False
+            fits = np.flatnonzero(room)
+            if not len(fits):
+                fits, fill = np.array([len(fill)]), np.append(fill, 0)
+            to = int(fits[fill[fits].argmax()])
+            fill[to] += length[j]
+            sequence[j], offset[j] = to, capacity  # last there
+            own.add(to)
+    mean = np.bincount(sequence, position) / np.bincount(sequence)
+    number = np.empty(len(mean), np.int64)
+    number[np.argsort(mean, kind="stable")] = np.arange(len(mean))
+    sequence = number[sequence]
+    by = np.lexsort((position, offset, sequence))
+    ends = np.cumsum(length[by])
+    first = np.flatnonzero(np.diff(sequence[by], prepend=-1))
+    base = np.repeat((ends - length[by])[first], np.diff(np.append(first, len(by))))
+    offset[by] = ends - length[by] - base
+    return sequence, offset
+
+
+def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, eps: float = EPS, groups: int = GROUPS, stretch: int | None = None) -> DataFrame:
+    """As pack, with sequences in the order of the rows of docs, stretch by stretch."""
+    size = (stretch or STRETCH) * capacity
+    rows = in_order(docs).select("doc_id", "tokens", "begin", F.explode(F.sequence(F.lit(0), F.expr(f"cast((tokens - 1) div {capacity} as int)"))).alias("piece"))
+    start = F.col("piece").cast("long") * capacity
+    cut = rows.select("doc_id", "piece", F.least(F.lit(capacity), F.col("tokens") - start).cast("int").alias("length"), (F.col("begin") + start).alias("position"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("length", "ascending"), ("position", "ascending")])
+        doc = t.column("doc_id").combine_chunks()
+        piece, length, position = (t.column(c).to_numpy().astype(np.int64) for c in ("piece", "length", "position"))
+        known = np.asarray(doc.is_valid().to_numpy(zero_copy_only=False))
+        sequence, offset = pack_stretch(doc.fill_null(0).to_numpy(), known, piece, length, position, capacity, eps, groups)
+        return pa.table({"doc_id": doc, "piece": t.column("piece"), "start": piece * capacity, "length": t.column("length"), "stretch": t.column("stretch"), "sequence": sequence, "seq_offset": offset.astype(np.int32)})
+
+    by = cut.withColumn("stretch", F.expr(f"position div {size}")).groupBy("stretch")
+    local = materialize(by.applyInArrow(run, "doc_id long, piece int, start long, length int, stretch long, sequence long, seq_offset int"), "stretches")
+    counts = local.groupBy("stretch").agg((F.max("sequence") + 1).alias("n"))  # a row a stretch
+    before = F.coalesce(F.sum("n").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("stretch").alias("o_stretch"), before.alias("before"))
+    return local.join(counts, F.col("stretch") == F.col("o_stretch")).select("doc_id", "piece", "start", "length", (F.col("sequence") + F.col("before")).alias("sequence"), "seq_offset")
+
+
 def op2_best_fit_packing(spark, sf_dir):
     from .common import table
 

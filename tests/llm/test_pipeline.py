@@ -75,6 +75,32 @@ def test_against_brute_force(spark, small):
     assert Counter((r.doc_id, r.piece, r.length) for r in whole) == cut
 
 
+def test_packing_keeps_the_order_of_training(spark, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 4, raising=False)
+    rng = np.random.default_rng(1)
+    rows = [(int(i), "x" * int(rng.integers(0, 20_000))) for i in rng.permutation(150)]
+    rows += [(i, "y" * 300) for i in (1000, 1001, 1000, 1002, 1000)] + [(None, None)]  # copies in one stretch
+    docs = common.materialize(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).union(spark.createDataFrame([(-1, "z" * 70_000)], "doc_id long, text string")), "order")
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    begin, at = {}, 0
+    for i, t in [*rows, (-1, "z" * 70_000)]:
+        begin.setdefault(i, at)
+        at += len(t or "") + 1
+    stretches, spans = defaultdict(set), defaultdict(list)
+    for r in got:
+        spans[r.sequence].append((r.seq_offset, r.length, r.doc_id))
+        if r.doc_id not in (1000, 1001, 1002):
+            stretches[r.sequence].add((begin[r.doc_id] + r.start) // (4 * packing.CAPACITY))
+    assert all(len(v) == 1 for v in stretches.values())
+    numbers = [min(stretches[s]) for s in sorted(stretches)]
+    assert numbers == sorted(numbers) and numbers[-1] > 30
+    assert sorted(spans) == list(range(len(spans))) and sum(r.length for r in got) == at
+    for parts in spans.values():
+        parts.sort(key=lambda x: x[:2])
+        assert parts[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(parts, parts[1:])) and sum(parts[-1][:2]) <= packing.CAPACITY
+        assert max(Counter(x[2] for x in parts).values()) == 1
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
