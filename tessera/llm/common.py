@@ -40,25 +40,59 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
 
 
+#: Folders of intermediate tables that are still there, in the order in which they were written.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+    """Write ``df`` to the shared folder and read it back; ``folder`` of the result is where it is.
 
     This cuts the lineage, survives the loss of executors, and gives the planner
     the true size of the table, by which it decides whether to broadcast it.
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
+    _written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
 
 
-def drop(spark: SparkSession, df_or_path: DataFrame | str) -> None:
-    """Remove a table made by ``materialize`` that is no longer needed."""
-    paths = [df_or_path] if isinstance(df_or_path, str) else df_or_path.inputFiles()
+def drop(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Remove tables made by ``materialize``, or folders, that are no longer needed."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {p if isinstance(df_or_path, str) else p.rsplit("/", 1)[0] for p in paths}:
+    for t in tables:
+        folder = t if isinstance(t, str) else t.folder
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+        if folder in _written:
+            _written.remove(folder)
+
+
+def mark() -> int:
+    """For ``sweep``: what is written from now on."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Remove all intermediate tables written since ``mark``, but ``keep``: what was made from them must be written by then."""
+    drop(spark, *[p for p in _written[since:] if p != keep.folder])
+
+
+def named(name: str):
+    """The column of that very name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def own_columns(df: DataFrame) -> list:
+    """All columns of ``df`` by name."""
+    return [named(c) for c in df.columns]
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The size of ``df`` as the optimizer knows it from its files: no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
 
 def let(value, body):

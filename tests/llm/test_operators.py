@@ -436,7 +436,7 @@ def test_simhash_edges(spark):
 def test_url_filter_by_brute_force(spark):
     rng = random.Random(5)
     urls = [f"http{'s' if rng.random() < 0.5 else ''}://{rng.choice(['', 'www.', 'm.'])}Host{rng.randrange(40)}.org/p/{rng.randrange(30)}{rng.choice(['', '/', '#x', '?utm_source=q', '?b=2&a=1', '?a=1&b=2&ref=z'])}" for _ in range(3000)]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(9001, None), (9002, ""), (9003, "/no/host")], "page_id long, url string").withColumn("key", F.lit("mine"))
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(9001, None), (9002, ""), (9003, "/no/host")], "page_id long, url string").withColumn("key", F.lit("mine")).withColumn("a.b", F.lit("dotted"))
     listed = spark.createDataFrame([(u,) for u in urls[::7]] + [(None,), ("",)], "url string")
     canon = {r.url: r.c for r in pages.select("url", urlfilter.canonical(F.col("url")).alias("c")).collect()}
     bad = {canon[u] for u in urls[::7]}
