@@ -92,7 +92,7 @@ def own_columns(df: DataFrame) -> list:
 
 def planned_bytes(df: DataFrame) -> int:
     """The size of ``df`` as the optimizer knows it from its files: no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def let(value, body):

@@ -3,25 +3,29 @@
 Every byte is decomposed into its eight bits, most significant first, so that a byte
 context has a binary tree of 255 nodes, each with the numbers of zeros and ones seen
 there in the whole corpus.  Contexts are the last 0, 1, ... ``depth`` bytes (zero bytes stand
-before a text's beginning); the query's depth is ``DEEP`` = 6.  A node's Krichevsky-Trofimov estimate has the
+before a text's beginning).  A node's Krichevsky-Trofimov estimate has the
 probability Pe of its counts; its weighted probability is ``Pw = Pe / 2 + prod(Pw of the
-contexts one byte longer) / 2``, and ``Pw = Pe`` at the greatest depth.  The
-probability of the next bit mixes the estimates of all depths by the weights this
-gives, from the deepest to the shallowest.  The code length of a byte is the sum over
-its bits, that of a text the sum over its bytes; reported per byte.
+contexts one byte longer) / 2``, and ``Pw = Pe`` at the greatest depth.
+
+No byte is explained by itself: the probability of a bit is ``Pw`` of the whole corpus over ``Pw`` of the corpus
+without that one occurrence, at the empty context.  As Pe doesn't depend on an order, this is the sequential code
+length of the bit when it comes last, after all others, its own document's included.
+It mixes, by the weights of the depths, the estimates (c - 1/2) / n of a bit seen c times in n at each node.
+The code length of a byte is the sum over its bits, that of a text the sum over its bytes; reported per byte.
 
 What is gathered grows with the corpus.  A gram is a byte with ``depth`` bytes of context, the last
 byte first, so that grams of a context at any depth lie together.  Texts are written to the shared
 folder in slices of at most ``SLICE`` bytes, with each slice's distinct grams and counts as compressed
-runs, one for each of ``BUCKETS`` hash buckets of the last three bytes.  A bucket has whole subtrees from the third
-byte on: one aggregation by bucket gives what depths 0 to 2 need of them (bounded, finished on the
+runs, one for each hash bucket of the last three bytes; there is about a bucket for each ``BUCKET_BYTES`` of the
+table.  A bucket has whole subtrees from the third
+byte on: one aggregation by bucket gives what depths 0 to 2 need of them (at most 65,536 contexts whatever the corpus, finished on the
 driver), a second the code length of every gram, which goes back to the slices that have it and is
-joined with their texts.  No task holds the whole tree.  For depth 2 all counts, at most 2^24,
-are finished on the driver.  Texts are handled as Arrow's byte
+joined with their texts.  No task holds the whole tree.  Texts are handled as Arrow's byte
 buffers in numpy, without a Python object for a text.
 
 Defined results.  Null and empty texts have no bytes: their code length is 0 and that per
-byte is null; every row is in the result.  Repeated rows count, and are scored, one by one.
+byte is null; every row is in the result.  Repeated rows count, and are scored, one by one; equal texts have equal
+code lengths.  Texts longer than a slice are a slice of their own, scored whole.  doc_id must be an integer.
 Extra columns are ignored.  An empty table gives an empty result.
 """
 
@@ -34,28 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Of score() by default, and of the part of the tree that the driver finishes.
-DEPTH = 2
-#: Of the query; a gram of seven bytes is a long.
-DEEP = 6
+from .common import materialize, planned_bytes, table, tidy
+
+#: Bytes of context; a gram of seven bytes is a long.
+DEPTH = 6
 SLICE = 32 << 20
-BUCKETS = 512
+BUCKET_BYTES = 1 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 16
 #: Bytes handled at a time.
-BLOCK = 4 << 20
-
-
-def grams(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """context << 8 | byte at each place; starts: first places of the texts."""
-    one = np.zeros(len(data), np.int32)
-    two = np.zeros(len(data), np.int32)
-    one[1:] = data[:-1]
-    two[2:] = data[:-2]
-    inside = starts[starts < len(data)]
-    one[inside] = 0
-    two[inside] = 0
-    second = inside[inside + 1 < len(data)] + 1
-    two[second] = 0
-    return (two << 16) | (one << 8) | data
+BLOCK = 2 << 20
 
 
 def buffers(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -72,25 +63,6 @@ def buffers(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         at = end
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(gram, n) over all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        for b in batches:
-            for _, _, data, off in buffers(b.column(0)):
-                if not len(data):
-                    continue
-                g = np.sort(grams(data, off[:-1]))
-                cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-                k, n = g[cut], np.diff(np.concatenate([cut, [len(g)]]))
-                both, pos = np.unique(np.concatenate([keys, k]), return_inverse=True)
-                keys, sums = both.astype(np.int32), np.bincount(pos, np.concatenate([sums, n]), len(both)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["gram", "n"])
-
-    return docs.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """By Stirling's series, after shifting x to 10 or more."""
     x = np.asarray(x, float).copy()
@@ -117,84 +89,7 @@ def nodes(byte_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return zeros, ones
 
 
-def _byte_bits(p_one: np.ndarray) -> np.ndarray:
-    """(contexts, 256) code lengths in bits from (contexts, 255) probabilities of a one."""
-    out = np.zeros((len(p_one), 256))
-    byte = np.arange(256)
-    for bit in range(8):
-        node = (1 << bit) - 1 + (byte >> (8 - bit))
-        one = (byte >> (7 - bit)) & 1
-        p = p_one[:, node]
-        out -= np.log2(np.where(one, p, 1 - p))
-    return out
-
-
-def model(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each two-byte context, code lengths by row): contexts that don't occur have the row of their last byte."""
-    order = np.argsort(gram)
-    gram, n = gram[order], n[order]
-    ctx = np.unique(gram >> 8)
-    # counts by byte for each context of two bytes, of one, and of none
-    deep = np.zeros((len(ctx), 256))
-    deep[np.searchsorted(ctx, gram >> 8), gram & 255] = n
-    mid = np.zeros((256, 256))
-    np.add.at(mid, ctx & 255, deep)
-    top = mid.sum(0)[None]
-    half = np.log(0.5)
-    # bottom up: log Pw, and the log of Pe over the product of the longer contexts' Pw
-    product_mid = np.zeros((256, 255))
-    for at in range(0, len(ctx), 2048):
-        z, o = nodes(deep[at : at + 2048])
-        np.add.at(product_mid, ctx[at : at + 2048] & 255, log_kt(z, o))
-    z1, o1 = nodes(mid)
-    pe1 = log_kt(z1, o1)
-    beta1 = pe1 - product_mid
-    pw1 = half + np.logaddexp(pe1, product_mid)
-    z0, o0 = nodes(top)
-    pe0 = log_kt(z0, o0)
-    beta0 = pe0 - pw1.sum(0)[None]
-    # top down: the share of each depth's estimate
-    own0, own1 = 1 / (1 + np.exp(-np.clip(beta0, -700, 700))), 1 / (1 + np.exp(-np.clip(beta1, -700, 700)))
-    kt = lambda z, o: (o + 0.5) / (z + o + 1.0)
-    p0, p1 = kt(z0, o0), kt(z1, o1)
-    table = np.zeros((256 + len(ctx), 256), np.float32)
-
-    def mixed(p2: np.ndarray, last: np.ndarray) -> np.ndarray:
-        lower = own1[last] * p1[last] + (1 - own1[last]) * p2
-        return own0 * p0 + (1 - own0) * lower
-
-    table[:256] = _byte_bits(mixed(np.full((256, 255), 0.5), np.arange(256)))
-    for at in range(0, len(ctx), 2048):
-        z, o = nodes(deep[at : at + 2048])
-        table[256 + at : 256 + at + len(z)] = _byte_bits(mixed(kt(z, o), ctx[at : at + 2048] & 255))
-    rows = np.tile(np.arange(256, dtype=np.int32), 256)
-    rows[ctx] = 256 + np.arange(len(ctx), dtype=np.int32)
-    return rows, table
-
-
-def _score_two(docs: DataFrame) -> DataFrame:
-    found = counts(docs).toArrow()  # bounded by 2^24 rows
-    shipped = docs.sparkSession.sparkContext.broadcast(model(found.column(0).to_numpy(), found.column(1).to_numpy()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, table = shipped.value
-        flat = table.ravel()
-        for b in batches:
-            bits, size = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for at, end, data, off in buffers(b.column(1)):
-                size[at:end] = np.diff(off)
-                if len(data):
-                    g = grams(data, off[:-1])
-                    cost = flat[rows[g >> 8].astype(np.int64) * 256 + (g & 255)]
-                    full = np.flatnonzero(np.diff(off))
-                    bits[at + full] = np.add.reduceat(cost, off[full], dtype=np.float64)
-            per = pa.array(np.where(size > 0, bits / np.maximum(size, 1), np.nan), mask=size == 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(bits), per], names=["doc_id", "n_bytes", "code_bits", "bits_per_byte"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, code_bits double, bits_per_byte double")
-
-
-def deep_grams(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+def grams(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     """last byte, the one before it, ... to depth, and the byte itself, at each place; starts: first places of the texts."""
     out = data.astype(np.int64)
     since = np.zeros(len(data), np.int64)
@@ -219,13 +114,13 @@ def add_up(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def distinct(data: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    g = np.sort(deep_grams(data, off[:-1], depth))
+    g = np.sort(grams(data, off[:-1], depth))
     cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
     return g[cut], np.diff(np.concatenate([cut, [len(g)]]))
 
 
-def bucket_of(gram: np.ndarray, depth: int) -> np.ndarray:
-    return (((gram >> (8 * (depth - 2))) * 0x9E3779B1 & 0xFFFFFFFF) * BUCKETS >> 32).astype(np.int16)
+def bucket_of(gram: np.ndarray, depth: int, buckets: int) -> np.ndarray:
+    return (((gram >> (8 * (depth - 2))) * 0x9E3779B1 & 0xFFFFFFFF) * buckets >> 32).astype(np.int32)
 
 
 def squeeze(gram: np.ndarray, n: np.ndarray) -> bytes:
@@ -240,7 +135,7 @@ def unsqueeze(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[:n]), both[n:]
 
 
-def sliced(docs: DataFrame, depth: int) -> DataFrame:
+def sliced(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
     """Rows (slice, doc_id, text) and, with a bucket, (slice, bucket, size, grams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,14 +146,14 @@ def sliced(docs: DataFrame, depth: int) -> DataFrame:
 
         def finish() -> pa.RecordBatch:
             gram, n = add_up(keys, sums)
-            bucket = bucket_of(gram, depth)
+            bucket = bucket_of(gram, depth, buckets)
             order = np.argsort(bucket, kind="stable")
             gram, n, bucket = gram[order], n[order], bucket[order]
             cut = [*np.flatnonzero(np.diff(bucket, prepend=-1)), len(gram)]
             blobs = [squeeze(gram[a:b], n[a:b]) for a, b in zip(cut, cut[1:])]
             k = len(blobs)
             return pa.RecordBatch.from_arrays(
-                [pa.array([at] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.diff(cut).astype(np.int32)), pa.array(blobs, pa.binary())], names=names
+                [pa.array([at] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.array(bucket[cut[:-1]]), pa.array(np.diff(cut).astype(np.int32)), pa.array(blobs, pa.binary())], names=names
             )
 
         for b in batches:
@@ -298,8 +193,12 @@ def log_kt_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def subtrees(gram: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From distinct grams, rising, with whole subtrees from depth 3: (two bytes of context << 8 | node, log Pw) of the nodes at depth 3, and the probability of a one by depths 3 and more at each bit of each gram, (8, grams)."""
+def subtrees(gram: np.ndarray, n: np.ndarray, depth: int, code: bool) -> tuple[np.ndarray, np.ndarray] | np.ndarray:
+    """From distinct grams, rising, with whole subtrees from depth 3.
+
+    With ``code``: one over the probability of each bit of each gram by depths 3 and more, (8, grams).  Without:
+    (two bytes of context << 8 | node, log Pw) of the nodes at depth 3.
+    """
     # level by level, deepest first: entries (context, byte) with counts, and the place of each one's parent
     levels, keys, num = [], gram, n
     for d in range(depth, 2, -1):
@@ -310,35 +209,42 @@ def subtrees(gram: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, n
         levels.append((keys, num, up))
         if d > 3:
             keys, num = parent, np.bincount(up, num, len(parent)).astype(np.int64)
-    sums, ones = [], np.zeros((8, len(gram)))
+    sums, inverse = [], np.zeros((8, len(gram)) if code else 0)
     for bit in range(8):
         log_pw, parent_node, path, low = None, None, np.arange(len(gram)), None
+        one = ((gram >> (7 - bit)) & 1).astype(bool)
         for keys, num, up in levels:
             prefix = keys >> (8 - bit)
             new = np.concatenate([[True], prefix[1:] != prefix[:-1]])
             start, node = np.flatnonzero(new), np.cumsum(new) - 1
+            total = np.add.reduceat(num, start)
             o = np.add.reduceat(num * ((keys >> (7 - bit)) & 1), start)
-            z = np.add.reduceat(num, start) - o
-            pe, p = log_kt_counts(z, o), (o + 0.5) / (z + o + 1.0)
+            pe = log_kt_counts(total - o, o)
+            if code:
+                at = node[path]
+                here = total[at] / (np.where(one, o[at], total[at] - o[at]) - 0.5)
             if log_pw is None:
-                log_pw, low = pe, p[node]
+                log_pw = pe
+                low = here if code else None
             else:
                 product = np.bincount(node[parent_node], log_pw, len(start))
-                own = 1 / (1 + np.exp(-np.clip(pe - product, -700, 700)))
+                if code:
+                    own = 1 / (1 + np.exp(-np.clip(pe - product, -700, 700)))[at]
+                    low = own * here + (1 - own) * low
                 log_pw = np.log(0.5) + np.logaddexp(pe, product)
-                low = (own * p)[node[path]] + (1 - own)[node[path]] * low
             if up is not None:
                 parent_node = up[start]  # a place of the parent level, whose node it belongs to
                 path = up[path]
-            else:
+            elif not code:
                 k = keys[start]
                 sums.append(((k >> 16 << 8) | ((1 << bit) - 1 + ((k & 255) >> (8 - bit))), log_pw))
-        ones[bit] = low
-    return np.concatenate([s[0] for s in sums]), np.concatenate([s[1] for s in sums]), ones
+        if code:
+            inverse[bit] = low
+    return inverse if code else (np.concatenate([x[0] for x in sums]), np.concatenate([x[1] for x in sums]))
 
 
 def top(key: np.ndarray, node: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts of two bytes, a, b): the probability of a one is a + b * that by the longer contexts; a, b: (contexts, 255).
+    """(contexts of two bytes, a, b): one over the probability of a bit x is a[x] + b times that by the longer contexts; a: (2, contexts, 255), b: (contexts, 255).
 
     key: last byte << 8 | the one before; value: the sum of log Pw one byte deeper at node, or the count of the byte node - 256.
     """
@@ -351,29 +257,34 @@ def top(key: np.ndarray, node: np.ndarray, value: np.ndarray) -> tuple[np.ndarra
     mid = np.zeros((256, 256))
     np.add.at(mid, last, deep)
     share = lambda beta: 1 / (1 + np.exp(-np.clip(beta, -700, 700)))
-    kt = lambda z, o: (o + 0.5) / (z + o + 1.0)
-    product1, a, b = np.zeros((256, 255)), np.zeros((len(ctx), 255)), np.zeros((len(ctx), 255))
+    inverse = lambda z, o: np.stack([(z + o) / (z - 0.5), (z + o) / (o - 0.5)])  # noqa: E731  of a bit that was seen
+    product1, a, b = np.zeros((256, 255)), np.zeros((2, len(ctx), 255), np.float32), np.zeros((len(ctx), 255), np.float32)
     for at in range(0, len(ctx), 2048):
         z, o = nodes(deep[at : at + 2048])
         pe = log_kt(z, o)
         p = product2[at : at + 2048]
         np.add.at(product1, last[at : at + 2048], np.log(0.5) + np.logaddexp(pe, p))
         own = share(pe - p)
-        a[at : at + 2048], b[at : at + 2048] = own * kt(z, o), 1 - own
+        a[:, at : at + 2048], b[at : at + 2048] = own * inverse(z, o), 1 - own
     z1, o1 = nodes(mid)
     pe1 = log_kt(z1, o1)
     z0, o0 = nodes(mid.sum(0)[None])
     own1 = share(pe1 - product1)
     own0 = share(log_kt(z0, o0) - (np.log(0.5) + np.logaddexp(pe1, product1)).sum(0)[None])
-    p0, p1 = kt(z0, o0), kt(z1, o1)
-    a = own0 * p0 + (1 - own0) * ((own1 * p1)[last] + (1 - own1)[last] * a)
-    return ctx, a, (1 - own0) * (1 - own1)[last] * b
-
+    inverse0, inverse1 = own0 * inverse(z0, o0), own1 * inverse(z1, o1)
+    for at in range(0, len(ctx), 2048):
+        here = last[at : at + 2048]
+        a[:, at : at + 2048] = inverse0 + (1 - own0) * (inverse1[:, here] + (1 - own1)[here] * a[:, at : at + 2048])
+        b[at : at + 2048] *= (1 - own0) * (1 - own1)[here]
+    return ctx, a, b
 
-def _score_deep(docs: DataFrame, depth: int) -> DataFrame:
-    from .common import materialize, tidy
 
-    written = materialize(sliced(docs, depth), "slices")
+def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(doc_id, n_bytes, code_bits, bits_per_byte) for every row, by the model of all of them; depth: 3 to 6 bytes of context."""
+    if not 3 <= depth <= DEPTH:
+        raise ValueError("depth must be from 3 to 6")
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, planned_bytes(docs) // BUCKET_BYTES))
+    written = materialize(sliced(docs, depth, buckets), "slices")
     grams_of = written.filter("bucket IS NOT NULL").select("slice", "bucket", "size", "grams")
 
     def gathered(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -382,7 +293,7 @@ def _score_deep(docs: DataFrame, depth: int) -> DataFrame:
 
     def sums(t: pa.Table) -> pa.Table:
         _, gram, n = gathered(t)
-        at, value, _ = subtrees(gram, n, depth)
+        at, value = subtrees(gram, n, depth, code=False)
         at, where = np.unique(at, return_inverse=True)
         value = np.bincount(where, value, len(at))
         byte = (gram >> (8 * (depth - 1)) << 8) | (gram & 255)
@@ -397,12 +308,11 @@ def _score_deep(docs: DataFrame, depth: int) -> DataFrame:
     def lengths(t: pa.Table) -> pa.Table:
         ctx, a, b = shipped.value
         runs, gram, n = gathered(t)
-        _, _, ones = subtrees(gram, n, depth)
+        inverse = subtrees(gram, n, depth, code=True)
         row, byte, bits = np.searchsorted(ctx, gram >> (8 * (depth - 1))), gram & 255, np.zeros(len(gram))
         for bit in range(8):
             node = (1 << bit) - 1 + (byte >> (8 - bit))
-            p = a[row, node] + b[row, node] * ones[bit]
-            bits -= np.log2(np.where((byte >> (7 - bit)) & 1, p, 1 - p))
+            bits += np.log2(a[(byte >> (7 - bit)) & 1, row, node] + b[row, node] * inverse[bit])
         bits = bits.astype("<f4")
         return pa.table({"slice": t.column("slice"), "bucket": t.column("bucket"), "bits": pa.array([bits[np.searchsorted(gram, r)].tobytes() for r in runs], pa.binary())})
 
@@ -420,7 +330,7 @@ def _score_deep(docs: DataFrame, depth: int) -> DataFrame:
                     k, z = add_up(keys, none)
                     keys, none = [k], [z]
         gram, _ = add_up(keys, none)
-        order = np.argsort(bucket_of(gram, depth), kind="stable")
+        order = np.argsort(bucket_of(gram, depth, buckets), kind="stable")
         found = found.sort_by("bucket")
         cost = np.zeros(len(gram))
         cost[order] = np.frombuffer(b"".join(found.column("bits").to_pylist()), "<f4")
@@ -429,7 +339,7 @@ def _score_deep(docs: DataFrame, depth: int) -> DataFrame:
             size.append(np.diff(off))
             bits.append(np.zeros(len(off) - 1))
             if len(data):
-                g = deep_grams(data, off[:-1], depth)
+                g = grams(data, off[:-1], depth)
                 by = np.argsort(g)
                 each = np.empty(len(g))
                 each[by] = cost[np.searchsorted(gram, g[by])]
@@ -444,14 +354,5 @@ def _score_deep(docs: DataFrame, depth: int) -> DataFrame:
     return texts.groupBy("slice").cogroup(bits_of.groupBy("slice")).applyInArrow(run, "doc_id long, n_bytes long, code_bits double, bits_per_byte double")
 
 
-def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, n_bytes, code_bits, bits_per_byte) for every row, by the model of all of them; depth: 2 to 6 bytes of context."""
-    if not 2 <= depth <= DEEP:
-        raise ValueError("depth must be from 2 to 6")
-    return _score_two(docs) if depth == DEPTH else _score_deep(docs, depth)
-
-
 def op4_lm_scoring(spark, sf_dir):
-    from .common import table
-
-    return score(table(spark, sf_dir, "documents"), DEEP)
+    return score(table(spark, sf_dir, "documents"))

@@ -208,121 +208,71 @@ def test_language_edges(spark):
 # ---- 4
 
 
-def brute_ctw(texts, target):
+def brute_ctw(texts, target, depth):
+    """Pw of everything over Pw without the one occurrence, for each bit of the target, which is one of the texts."""
     cnt, seen = Counter(), defaultdict(set)
-    for t in (x.encode() for x in texts):
-        p = b"\0\0" + t
-        for i in range(len(t)):
-            node = 1
-            for k in range(7, -1, -1):
-                x = (t[i] >> k) & 1
-                for d in range(3):
-                    c = p[i + 2 - d : i + 2]
-                    cnt[c, node, x] += 1
-                    if c:
-                        seen[c[1:], node].add(c)
-                node = node * 2 + x
-
-    def kt(c, n):
-        a, b = cnt[c, n, 0], cnt[c, n, 1]
-        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-
-    def pw(c, n):
-        return kt(c, n) if len(c) == 2 else math.log(0.5) + np.logaddexp(kt(c, n), sum(pw(q, n) for q in seen[c, n]))
-
-    out, t = 0.0, target.encode()
-    p = b"\0\0" + t
-    for i in range(len(t)):
-        node = 1
-        for k in range(7, -1, -1):
-            x, pr = (t[i] >> k) & 1, 0.0
-            for d in (2, 1, 0):
-                c = p[i + 2 - d : i + 2]
-                e = (cnt[c, node, 1] + 0.5) / (cnt[c, node, 0] + cnt[c, node, 1] + 1)
-                if d == 2:
-                    pr = e
-                else:
-                    beta = math.exp(kt(c, node) - sum(pw(q, node) for q in seen[c, node]))
-                    pr = (beta * e + pr) / (beta + 1)
-            out -= math.log2(pr if x else 1 - pr)
-            node = node * 2 + x
-    return out
-
-
-def test_ctw_by_brute_force(spark):
-    texts = ["hello wörld, hello there", "the other", "xyz " * 7, "the other"]
-    docs = spark.createDataFrame(list(enumerate(texts)) + [(9, ""), (10, None), (None, "the")], "doc_id long, text string").withColumn("n_bytes", F.lit("mine"))
-    got = {r.doc_id: r for r in ctw.score(docs).collect()}
-    for i, t in enumerate(texts):
-        assert got[i].code_bits == pytest.approx(brute_ctw([*texts, "the"], t), rel=1e-5)
-        assert got[i].n_bytes == len(t.encode()) and got[i].bits_per_byte == pytest.approx(got[i].code_bits / got[i].n_bytes)
-    assert got[9].bits_per_byte is None and got[10].code_bits == 0 and None in got and len(got) == 7
-    assert ctw.score(empty(spark)).count() == 0
 
-
-def brute_ctw_deep(texts, target, depth):
-    """brute_ctw for any depth."""
-    cnt, seen = Counter(), defaultdict(set)
-    for t in (x.encode() for x in texts):
+    def places(t):
         p = bytes(depth) + t
         for i in range(len(t)):
             for k in range(8):
                 node, x = (1 << k) | (t[i] >> (8 - k)), (t[i] >> (7 - k)) & 1
-                for d in range(depth + 1):
-                    c = p[i + depth - d : i + depth]
-                    cnt[c, node, x] += 1
-                    if c:
-                        seen[c[1:], node].add(c)
+                yield node, x, [p[i + depth - d : i + depth] for d in range(depth + 1)]
+
+    for t in (x.encode() for x in texts):
+        for node, x, contexts in places(t):
+            for c in contexts:
+                cnt[c, node, x] += 1
+                if c:
+                    seen[c[1:], node].add(c)
     memo = {}
 
-    def kt(c, n):
-        a, b = cnt[c, n, 0], cnt[c, n, 1]
-        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-
-    def pw(c, n):
-        if (c, n) not in memo:
-            memo[c, n] = kt(c, n) if len(c) == depth else math.log(0.5) + np.logaddexp(kt(c, n), sum(pw(q, n) for q in seen[c, n]))
-        return memo[c, n]
-
-    out, t = 0.0, target.encode()
-    p = bytes(depth) + t
-    for i in range(len(t)):
-        for k in range(8):
-            node, pr = (1 << k) | (t[i] >> (8 - k)), None
-            for d in range(depth, -1, -1):
-                c = p[i + depth - d : i + depth]
-                e = (cnt[c, node, 1] + 0.5) / (cnt[c, node, 0] + cnt[c, node, 1] + 1)
-                own = 0.0 if d == depth else 1 / (1 + math.exp(-(kt(c, node) - sum(pw(q, node) for q in seen[c, node]))))
-                pr = e if d == depth else own * e + (1 - own) * pr
-            out -= math.log2(pr if (t[i] >> (7 - k)) & 1 else 1 - pr)
-    return out
+    def pw(c, n, x=None, gone=()):
+        """log Pw; without an x at the contexts of gone."""
+        if c not in gone and (c, n) in memo:
+            return memo[c, n]
+        a, b = (cnt[c, n, y] - (c in gone and y == x) for y in (0, 1))
+        kt = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        out = kt if len(c) == depth else math.log(0.5) + np.logaddexp(kt, sum(pw(q, n, x, gone) for q in seen[c, n]))
+        if c not in gone:
+            memo[c, n] = out
+        return out
+
+    return -sum(pw(b"", node) - pw(b"", node, x, contexts) for node, x, contexts in places(target.encode())) / math.log(2)
 
 
 @pytest.mark.parametrize("depth", [3, 6])
-def test_ctw_deep_by_brute_force(spark, monkeypatch, depth):
+def test_ctw_by_brute_force(spark, monkeypatch, depth):
     monkeypatch.setattr(ctw, "SLICE", 40)  # several slices
     monkeypatch.setattr(ctw, "BLOCK", 16)
     texts = ["hello wörld, hello there", "the other", "xyz " * 7, "the other", "abcdefgh abcdefgx"]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(9, ""), (10, None), (None, "the")], "doc_id long, text string").withColumn("slice", F.lit("mine")).coalesce(2)
     got = {r.doc_id: r for r in ctw.score(docs, depth).collect()}
     for i, t in enumerate(texts):
-        assert got[i].code_bits == pytest.approx(brute_ctw_deep([*texts, "the"], t, depth), rel=1e-5)
+        assert got[i].code_bits == pytest.approx(brute_ctw([*texts, "the"], t, depth), rel=1e-5)
         assert got[i].n_bytes == len(t.encode()) and got[i].bits_per_byte == pytest.approx(got[i].code_bits / got[i].n_bytes)
+    assert got[1].code_bits == got[3].code_bits
     assert got[9].bits_per_byte is None and got[10].code_bits == 0 and None in got and len(got) == 8
     assert ctw.score(empty(spark), depth).count() == 0
 
 
-def test_lm_scoring_uses_long_contexts(spark, small):
-    rows = registry.QUERIES["op4_lm_scoring"](spark, small).agg(F.sum("code_bits"), F.sum("n_bytes")).first()
-    two = ctw.score(common.table(spark, small, "documents")).agg(F.sum("code_bits"), F.sum("n_bytes")).first()
-    assert rows[1] == two[1] and rows[0] < 0.9 * two[0]
+def test_ctw_awkward_rows(spark):
+    got = ctw.score(awkward(spark, extra=True)).collect()
+    assert len(got) == awkward(spark).count() and sum(r.n_bytes for r in got) == sum(len((r.text or "").encode()) for r in awkward(spark).collect())
+
+
+def test_lm_scoring_uses_long_contexts_and_no_byte_explains_itself(spark, small):
+    docs = common.table(spark, small, "documents")
+    total = lambda depth: ctw.score(docs, depth).agg(F.sum("code_bits")).first()[0]
+    assert total(6) < 0.95 * total(3)
+    rng = random.Random(3)
+    noise = ["".join(chr(rng.randrange(33, 127)) for _ in range(200)) for _ in range(40)]
+    bits = {r.doc_id: r.bits_per_byte for r in ctw.score(spark.createDataFrame(list(enumerate([*noise, noise[0]])), "doc_id long, text string")).collect()}
+    assert min(bits[i] for i in range(1, 40)) > 6.4  # log2(94) = 6.55: noise can't be told from its own counts
+    assert bits[0] == bits[40] < min(bits[i] for i in range(1, 40)) - 0.2  # the other copy does
 
 
-def test_ctw_probabilities_sum_to_one_and_blocks_dont_matter(monkeypatch):
-    g = ctw.grams(np.frombuffer(b"abracadabra", np.uint8), np.array([0]))
-    k, n = np.unique(g, return_counts=True)
-    _, table = ctw.model(k, n)
-    assert np.allclose((2.0 ** -table.astype(float)).sum(1), 1, atol=1e-5)
+def test_ctw_blocks_dont_matter(monkeypatch):
     import pyarrow as pa
 
     col = pa.array(["abc", None, "", "defgh", "i"])
