@@ -24,7 +24,7 @@ def awkward(spark, extra: bool = False):
     ]
     df = spark.createDataFrame(rows, SCHEMA)
     if extra:
-        for c in ("tessera__lang", "tessera__source", "tessera__h", "tessera__position", "key", "node", "shard", "status", "f", "n_words"):
+        for c in ("tessera__lang", "tessera__source", "tessera__h", "tessera__position", "key", "node", "shard", "status", "f", "n_words", "a.b", "gone"):
             df = df.withColumn(c, F.lit("mine"))
     return df
 
@@ -329,8 +329,37 @@ def test_simhash_against_brute_force(spark):
     assert all(want[i] == r for i, r in got.items())
     kept = ids(simhash.filter_documents(docs))
     assert kept == [i for i in range(n) if i not in got]
-    three = {r.doc_id: r.kept_doc_id for r in simhash.duplicate_pairs(docs, arity=3, number=300).collect()}
-    assert set(three) <= set(want) and len(three) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("n", [1, 1000, 10**5, 10**7, 10**10])
+def test_simhash_tables_reach_their_recall_at_every_size_and_distance(n):
+    bits, tables = simhash.plan_tables(n)
+    assert n / 2**bits <= 2 * simhash.BUCKET_ROWS
+    rng, values = np.random.default_rng(n % 97), simhash.sampled_bits(bits, tables)
+    for d, least in ((10, 0.999), (16, 0.98), (18, 0.97), (20, 0.94), (22, 0.92)):
+        a = rng.integers(0, 2, (400, 128))
+        b = a.copy()
+        for r in b:
+            r[rng.choice(128, d, replace=False)] ^= 1
+        assert ((a @ values == b @ values).any(1)).mean() >= least - 0.02
+
+
+def test_simhash_finds_copies_with_a_tenth_of_their_words_replaced(spark):
+    """Of the pairs within K: isolated pairs, so that no third document helps."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    texts = []
+    for _ in range(200):
+        base = [word() for _ in range(150)]
+        copy = base.copy()
+        for j in rng.sample(range(150), 15):
+            copy[j] = word()
+        texts += [" ".join(base), " ".join(copy)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = {r.doc_id: np.array([r.hi, r.lo]).astype(np.int64).view(np.uint64) for r in simhash.fingerprints(docs).collect()}
+    close = {i + 1 for i in range(0, 400, 2) if np.bitwise_count(fps[i] ^ fps[i + 1]).sum() <= simhash.K}
+    got = {r.doc_id for r in simhash.duplicate_pairs(docs).collect()}
+    assert len(close) > 120 and got <= close and len(got) >= 0.95 * len(close)
 
 
 def test_simhash_majority_and_bound():
@@ -354,6 +383,24 @@ def test_simhash_majority_and_bound():
     assert dict(zip(rows.tolist(), roots.tolist())) == {i: r for i, r in want.items() if i != r}
 
 
+def test_simhash_forest_of_hot_buckets():
+    """A bucket of near copies with strangers, which is finished early, and one of strangers."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2, 128)
+    rows = np.concatenate([np.tile(base, (500, 1)), rng.integers(0, 2, (300, 128))])
+    for i in range(500):
+        rows[i, rng.choice(128, rng.integers(0, 14), replace=False)] ^= 1
+    rows[600:604] = rows[500:504]
+    rows[600:604, :10] ^= 1
+    keys = np.concatenate([np.zeros(560, int), np.ones(240, int)])
+    fp = np.packbits(rows.astype(np.uint8), axis=1).view(np.uint64)
+    order = np.lexsort((fp[:, 0], keys))
+    keys, fp = keys[order], fp[order]
+    got = simhash.forest(keys, fp, simhash.references())
+    want = union_find([(i, j) for i in range(800) for j in range(i) if keys[i] == keys[j] and simhash.distance(fp[i : i + 1], fp[j : j + 1])[0] <= simhash.K], range(800))
+    assert dict(zip(got[0].tolist(), got[1].tolist())) == {i: r for i, r in want.items() if i != r}
+
+
 def test_simhash_long_bucket_runs_over_batches(spark):
     """A bucket larger than the rows held at a time."""
     n = 1000
