@@ -1,6 +1,7 @@
 """Quality rules with adaptive thresholds.
 
-Every document gets a few integer features.  Their distribution per language and
+Every document gets a few integer features: shares of symbols and upper case letters, of repeated trigrams of words
+and of words that come doubled, and the mean length of words.  Their distribution per language and
 source is kept in mergeable quantile sketches: log-linear histograms with 32
 buckets an octave (exact below 64, within 1/32 above), whose merge is the sum of the
 counts of equal buckets, so that results don't depend on order or partitions.
@@ -11,7 +12,7 @@ Documents are joined with the fences of their group and filtered.
 Defined results.  A null, empty or blank text has no words and is rejected.  A null
 ``lang`` or ``source`` counts as the empty string.  A group of fewer than
 ``min_group`` documents uses the fences of its language, and a language of fewer
-those of all documents (the sketches are merged for it).  Repeated rows count, and are
+those of all documents (the sketches are merged for it).  Texts count whole, however long.  Ties don't arise.  Repeated rows count, and are
 kept or rejected, one by one.  Null ``doc_id`` is carried along.  Extra columns are
 kept by ``filter_documents`` under any name and ignored by ``quality_report``.
 An empty table gives an empty result.
@@ -22,12 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, own_name
+from .common import drop, let, materialize, own_columns, own_name, table
 
 REACH = 3
 MIN_GROUP = 100
 #: feature -> (least spread, has a lower fence)
-FEATURES = {"symbol_pm": (20, False), "upper_pm": (60, False), "repeat_pm": (135, False), "word_len10": (12, True)}
+FEATURES = {"symbol_pm": (20, False), "upper_pm": (60, False), "repeat_pm": (135, False), "twice_pm": (45, False), "word_len10": (12, True)}
 SPACE = "[ \\t\\n\\r\\f]+"
 
 
@@ -44,7 +45,8 @@ def features(text: Column) -> Column:
             F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))
         )
         repeats = F.when(n >= 3, n - 2 - F.size(F.array_distinct(grams))).otherwise(0)
-        return F.struct(n.alias("n"), (s["length"] - n + 1).alias("chars"), s["symbols"], s["upper"], repeats.alias("repeats"))
+        twice = F.when(n >= 2, F.size(F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.element_at(w, i) == F.element_at(w, i + 1)))).otherwise(0)
+        return F.struct(n.alias("n"), (s["length"] - n + 1).alias("chars"), s["symbols"], s["upper"], repeats.alias("repeats"), twice.alias("twice"))
 
     def finish(s: Column) -> Column:
         pm = lambda part, whole: F.floor(F.lit(1000) * part / F.greatest(whole, F.lit(1))).cast("int")
@@ -53,6 +55,7 @@ def features(text: Column) -> Column:
             pm(s["symbols"], s["chars"]).alias("symbol_pm"),
             pm(s["upper"], s["chars"]).alias("upper_pm"),
             pm(s["repeats"], s["n"] - 2).alias("repeat_pm"),
+            pm(s["twice"], s["n"] - 1).alias("twice_pm"),
             F.floor(F.lit(10) * s["chars"] / s["n"]).cast("int").alias("word_len10"),
         )
 
@@ -130,24 +133,24 @@ def quality_report(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     Reads the texts once; the features (no text) are kept in the shared folder.
     """
     feats = materialize(docs.select("doc_id", "lang", "source", features(F.col("text")).alias("f")).select("doc_id", "lang", "source", "f.*"), "features")
-    fences = materialize(thresholds(materialize(sketches(feats), "sketch"), min_group), "fences").select(
-        F.col("lang").alias("k_lang"), F.col("source").alias("k_source"), *FENCES
-    )
+    sketch = materialize(sketches(feats), "sketch")
+    fences = materialize(thresholds(sketch, min_group), "fences").select(F.col("lang").alias("k_lang"), F.col("source").alias("k_source"), *FENCES)
+    drop(docs.sparkSession, sketch)
     joined = feats.join(fences, (F.coalesce("lang", F.lit("")) == F.col("k_lang")) & (F.coalesce("source", F.lit("")) == F.col("k_source")))
     return joined.filter(passes(F.col, F.col)).drop("k_lang", "k_source")
 
 
 def filter_documents(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """The documents kept, with all their columns."""
-    rows = docs.select("lang", "source", features(F.col("text")).alias("f")).select("lang", "source", "f.*")
-    fences = materialize(thresholds(materialize(sketches(rows), "sketch"), min_group), "fences")
-    own = {c: own_name(docs, c) for c in fences.columns}
+    """The documents kept, with all their columns.  The rows are written once with their features, which are computed once."""
+    own = {c: own_name(docs, c) for c in ("features", "lang", "source", *FENCES)}
+    rows = materialize(docs.select(*own_columns(docs), features(F.col("text")).alias(own["features"])), "featured")
+    sketch = materialize(sketches(rows.select("lang", "source", f"{own['features']}.*")), "sketch")
+    fences = materialize(thresholds(sketch, min_group), "fences")
+    drop(docs.sparkSession, sketch)
     fences = fences.select(*[F.col(c).alias(own[c]) for c in fences.columns])
-    feats = features(docs["text"])
-    same = (F.coalesce(docs["lang"], F.lit("")) == F.col(own["lang"])) & (F.coalesce(docs["source"], F.lit("")) == F.col(own["source"]))
-    joined = docs.join(fences, same)
-    ok = let(feats, lambda f: passes(lambda n: f[n], lambda n: F.col(own[n])))
-    return joined.filter(ok).select(*[docs[c] for c in docs.columns])
+    same = (F.coalesce("lang", F.lit("")) == F.col(own["lang"])) & (F.coalesce("source", F.lit("")) == F.col(own["source"]))
+    ok = passes(lambda n: F.col(own["features"])[n], lambda n: F.col(own[n]))
+    return rows.join(fences, same).filter(ok).select(own_columns(docs))
 
 
 #: The features and fences in DuckDB's SQL; {docs} is a table, {then} what is selected from feats f and fences.
@@ -179,10 +182,10 @@ WITH parts AS (SELECT *, length(regexp_replace(text, '[ \\t\\n\\r\\f]+', '', 'g'
     length(regexp_replace(text, '[\\p{{L}}\\p{{N}} \\t\\n\\r\\f.,;:''"()?-]+', '', 'g')) AS symbols,
     length(regexp_replace(text, '\\P{{Lu}}+', '', 'g')) AS uppers,
     string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')), ' ') AS w FROM {docs}),
-counted AS (SELECT *, len(w) AS nw, CASE WHEN len(w) >= 3 THEN len(w) - 2 - len(list_distinct(list_transform(range(1, len(w) - 1), lambda i : w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) ELSE 0 END AS repeats FROM parts),
+counted AS (SELECT *, len(w) AS nw, CASE WHEN len(w) >= 3 THEN len(w) - 2 - len(list_distinct(list_transform(range(1, len(w) - 1), lambda i : w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) ELSE 0 END AS repeats, len(list_filter(range(1, len(w)), lambda i : w[i] = w[i + 1])) AS twice FROM parts),
 feats AS (SELECT * EXCLUDE (lang, source), coalesce(lang, '') AS lang, coalesce(source, '') AS source, lang AS lang0, source AS source0,
     CAST(CASE WHEN chars > 0 THEN nw ELSE 0 END AS INTEGER) AS n_words, CAST(1000 * symbols // greatest(chars, 1) AS INTEGER) AS symbol_pm,
-    CAST(1000 * uppers // greatest(chars, 1) AS INTEGER) AS upper_pm, CAST(1000 * repeats // greatest(nw - 2, 1) AS INTEGER) AS repeat_pm,
+    CAST(1000 * uppers // greatest(chars, 1) AS INTEGER) AS upper_pm, CAST(1000 * repeats // greatest(nw - 2, 1) AS INTEGER) AS repeat_pm, CAST(1000 * twice // greatest(nw - 1, 1) AS INTEGER) AS twice_pm,
     CAST(10 * chars // nw AS INTEGER) AS word_len10 FROM counted),
 sk AS (SELECT lang, source, feature, bucket, count(*) AS n FROM ({long}) GROUP BY ALL),
 {', '.join(levels)},
@@ -197,6 +200,4 @@ ORACLE = duckdb_sql(
 
 
 def op1_quality_rules(spark, sf_dir):
-    from .common import table
-
     return quality_report(table(spark, sf_dir, "documents"))

@@ -58,6 +58,7 @@ def test_quality_features_by_brute_force(spark):
             assert r.symbol_pm == 1000 * len(regex.sub(r"[\p{L}\p{N}\s.,;:'\"()?-]+", "", r.text)) // chars
             assert r.upper_pm == 1000 * len(regex.findall(r"\p{Lu}", r.text)) // chars
             assert r.repeat_pm == 1000 * (len(grams) - len(set(grams))) // max(1, len(grams))
+            assert r.twice_pm == 1000 * sum(a == b for a, b in zip(w, w[1:])) // max(1, len(w) - 1)
             assert r.word_len10 == 10 * chars // len(w)
 
 
@@ -71,7 +72,7 @@ def test_quality_buckets(spark):
 def test_quality_keeps_plain_and_drops_junk(spark):
     rng = random.Random(0)
     plain = [(i, " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rng.randrange(9999)) for _ in range(80)), "en", f"s{i % 3}", 0) for i in range(300)]
-    junk = [(1000, "### $$$ %%% " * 40, "en", "s0", 0), (1001, "SHOUT!! " * 60, "en", "s1", 0), (1002, "again " * 200, "en", "s2", 0), (1003, "", "en", "s0", 0), (1004, None, "en", "s0", 0)]
+    junk = [(1000, "### $$$ %%% " * 40, "en", "s0", 0), (1001, "SHOUT!! " * 60, "en", "s1", 0), (1002, "again " * 200, "en", "s2", 0), (1003, "", "en", "s0", 0), (1004, None, "en", "s0", 0), (1005, " ".join(f"w{i // 2}x" for i in range(160)), "en", "s0", 0)]
     docs = spark.createDataFrame(plain + junk, SCHEMA)
     kept = ids(quality.filter_documents(docs))
     assert kept == list(range(300)) and ids(quality.quality_report(docs)) == kept
