@@ -6,7 +6,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tessera.llm import common, ctw, jpeg, langid, mixing, packing, quality, records, registry, sharding, simhash, urlfilter
@@ -47,8 +49,6 @@ def words_of(t):
 def test_quality_features_by_brute_force(spark):
     docs = awkward(spark).filter("text is not null")
     got = docs.select("text", quality.features(F.col("text")).alias("f")).select("text", "f.*").collect()
-    import regex
-
     for r in got:
         w = words_of(r.text)
         chars = sum(map(len, w))
@@ -188,10 +188,49 @@ def test_language_held_out_accuracy(spark, small):
     train, test = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
     model = langid.train(train)
     rows = test.select("text", "lang").collect()
-    v = langid._verdict(model, langid.Scorer(model), [r.text for r in rows], [r.lang for r in rows], langid.MARGIN)
+    texts = pa.array([r.text for r in rows], pa.string())
+    v = langid._verdict(model, langid.Scorer(model), texts, [r.lang for r in rows], langid.MARGIN)
     assert np.mean([a == r.lang for a, r in zip(v["pred_lang"], rows)]) > 0.97 and v["keep"].mean() > 0.97
-    wrong = langid._verdict(model, langid.Scorer(model), [r.text for r in rows], ["de" if r.lang != "de" else "es" for r in rows], langid.MARGIN)
-    assert wrong["keep"].mean() < 0.35
+    wrong = langid._verdict(model, langid.Scorer(model), texts, ["de" if r.lang != "de" else "es" for r in rows], langid.MARGIN)
+    assert wrong["keep"].mean() < 0.01
+
+    # mixtures: up to 30 % foreign words stay, 70 % go
+    rng, pool = random.Random(4), defaultdict(list)
+    for r in rows:
+        pool[r.lang] += regex.findall(r"\p{L}+", r.text or "")
+    for share, low, high in ((0.1, 0.99, 1), (0.3, 0.95, 1), (0.7, 0, 0.1), (0.9, 0, 0.01)):
+        mixed, declared = [], []
+        for _ in range(200):
+            a, b = rng.sample(sorted(pool), 2)
+            n = round(60 * share)
+            mixed.append(" ".join(rng.sample(pool[b], n) + rng.sample(pool[a], 60 - n)))
+            declared.append(a)
+        keep = langid._verdict(model, langid.Scorer(model), pa.array(mixed), declared, langid.MARGIN)["keep"].mean()
+        assert low <= keep <= high, share
+
+
+def test_language_sample_is_bounded_whatever_the_ids(spark, small):
+    docs = common.table(spark, small.replace("0.001", "0.01"), "documents")
+    words = lambda d: {k: dict(v) for k, v in langid.sample_counts(d, 20).items()}
+    want = words(docs)
+    assert words(docs.withColumn("doc_id", F.lit(None).cast("long"))) == want and words(docs.withColumn("doc_id", F.lit(3))) == want
+    one = docs.filter("lang = 'en'").orderBy(F.xxhash64("text")).limit(1)
+    many = words(one.crossJoin(spark.range(500)).select("lang", "text"))
+    assert many in ({}, words(one))
+
+
+def test_language_fit_of_long_words_is_the_same_in_log_space():
+    known = {p: i for i, p in enumerate(["▁", "a", "b", "ab", "▁ab"])}
+    lattice = langid.Lattice(known)
+    rng = np.random.default_rng(2)
+    prob = rng.dirichlet(np.ones(lattice.size), 2).T
+    words, weight = ["abab", "bßa"], np.array([[1.0, 2.0], [3.0, 0.0]])
+    got = np.zeros_like(prob)
+    for w, x in zip(words, weight):
+        langid._log_expected(lattice, w, x, np.log(prob), got)
+    assert np.allclose(got, langid._expected(lattice, words, weight, prob))
+    langs, logp = langid.fit({"x": Counter({"ab" * 40: 3}), "y": Counter({"b": 1})}, lattice)
+    assert logp[known["ab"], 0] > np.log(0.5)
 
 
 def test_language_edges(spark):
@@ -274,8 +313,6 @@ def test_lm_scoring_uses_long_contexts_and_no_byte_explains_itself(spark, small)
 
 
 def test_ctw_blocks_dont_matter(monkeypatch):
-    import pyarrow as pa
-
     col = pa.array(["abc", None, "", "defgh", "i"])
     whole = [(a, b, d.tobytes(), o.tolist()) for a, b, d, o in ctw.buffers(col)]
     monkeypatch.setattr(ctw, "BLOCK", 3)

@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -31,7 +32,7 @@ def test_against_brute_force(spark, small):
     known, prob, memo = {p: i for i, p in enumerate(model["pieces"])}, np.exp(model["logp"]), {}
     want = Counter()
     for r in rows:
-        words = Counter(langid.WORD.findall(r.text.lower()))
+        words = Counter(regex.findall(r"\p{L}+", r.text.lower()))
         score = np.zeros(len(model["langs"]))
         for w, n in words.items():
             if w not in memo:
