@@ -14,11 +14,12 @@ tokens.  The default ``T`` is the least for which every document is used at leas
 
 A document's tokens are its UTF-8 bytes and one separator.  Prefix sums go over 65,536 hash
 buckets a source and then within each bucket, so a hot source is spread over many
-tasks; sorting by position is a range sort.
+tasks.  Sorting by position is a range sort whose ranges need no sample: as the weights sum to one, equal ranges of
+positions hold equal numbers of tokens.
 
 Defined results.  A null or empty text is one token, the separator.  A null source is the
 empty source.  Null doc_ids come first in their source.  Rows of equal doc_id are ordered by
-size; equal rows are interchangeable.  Ties in position are ordered by source,
+size; equal rows are interchangeable.  Texts of any length count whole; a document of an empty schedule isn't used.  Ties in position are ordered by source,
 doc_id and epoch.  Sources without a schedule, when one is given, are not used.  Extra
 columns are kept by ``mix_documents`` under any name and ignored by ``positions``.  An
 empty table gives an empty result.
@@ -29,9 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, own_name
+from .common import materialize, own_columns, own_name, table
 
 HOLD = 0.25
+#: Tokens of a range of positions, at most, and so of a partition of the result.
+RANGE_TOKENS = 512 << 20
 #: Of the hash, for the buckets: 65,536 a source.  The order within a source doesn't depend on it.
 HEX_DIGITS = 4
 
@@ -72,12 +75,13 @@ def due(parts: Column, d: Column) -> Column:
     return F.transform(F.array(part), solve)[0]
 
 
-def _assigned(docs: DataFrame, tokens: Column, knots: DataFrame | None, total: int | None) -> tuple[DataFrame, dict[str, str]]:
-    """docs with columns of ours: position, epoch, tokens (their names are returned)."""
+def _assigned(docs: DataFrame, tokens: Column, knots: DataFrame | None, total: int | None) -> tuple[DataFrame, dict[str, str], int]:
+    """(docs with columns of ours: position, epoch, tokens; their names; the number of training tokens)."""
     name = {k: own_name(docs, k) for k in ("h", "bucket", "source", "tokens", "begin", "supply", "parts", "share", "all", "epoch", "position", "upto", "first")}
     h = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
     rows = docs.withColumns({name["h"]: h, name["source"]: F.coalesce("source", F.lit("")), name["tokens"]: tokens})
-    rows = rows.withColumn(name["bucket"], F.substring(name["h"], 1, HEX_DIGITS))
+    # null ids, which come first, in the order of their sizes: they have buckets by size
+    rows = rows.withColumn(name["bucket"], F.when(F.col(name["h"]) == "", F.concat(F.lit(" "), F.lpad(F.col(name["tokens"]).cast("string"), 20, "0"))).otherwise(F.substring(name["h"], 1, HEX_DIGITS)))
     buckets = materialize(
         rows.groupBy(F.col(name["source"]).alias("source"), F.col(name["bucket"]).alias("bucket")).agg(F.sum(name["tokens"]).alias("tokens")), "buckets"
     )
@@ -85,6 +89,7 @@ def _assigned(docs: DataFrame, tokens: Column, knots: DataFrame | None, total: i
     per = stretches(default_knots(totals) if knots is None else knots).join(totals, "source").filter("share > 0")
     whole = F.lit(total).cast("long") if total is not None else F.ceil(F.max(F.col("supply").cast("double") / F.col("share"))).cast("long")
     per = materialize(per.crossJoin(per.agg(whole.alias("all"))), "schedule")
+    demanded = (per.select("all").first() or (0,))[0]
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = buckets.select(F.col("source").alias(name["source"] + "_o"), F.col("bucket").alias(name["bucket"] + "_o"), before.alias(name["upto"] + "_o"))
     per = per.select(F.col("source").alias(name["source"] + "_p"), *[F.col(c).alias(name[c] + "_o") for c in ("supply", "parts", "share", "all")])
@@ -101,34 +106,34 @@ def _assigned(docs: DataFrame, tokens: Column, knots: DataFrame | None, total: i
     rows = rows.withColumn(name["epoch"], F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0).cast("long"))), lambda e: (last >= 0) & ((e < last) | ~exact))))
     c = (first + F.col(name["epoch"]) * o("supply")).cast("double") / o("all").cast("double")
     rows = rows.withColumn(name["position"], F.floor(o("all").cast("double") * due(o("parts"), c)).cast("long"))
-    return rows, name
+    return rows, name, demanded
 
 
 def _tokens() -> Column:
     return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
 
 
-def _sorted(rows: DataFrame, name: dict[str, str]) -> DataFrame:
+def _sorted(rows: DataFrame, name: dict[str, str], demanded: int) -> DataFrame:
+    ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-demanded // RANGE_TOKENS))
     keys = [F.col(name["position"]), F.col(name["source"]), F.col("doc_id"), F.col(name["epoch"])]
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    at = F.least(F.lit(ranges - 1), F.floor(F.col(name["position"]).cast("double") * ranges / max(demanded, 1))).cast("int")
+    return rows.repartitionById(ranges, at).sortWithinPartitions(*keys)
 
 
 def positions(docs: DataFrame, knots: DataFrame | None = None, total: int | None = None) -> DataFrame:
     """(doc_id, source, tokens, epoch, position) in the order of position; knots: (source, t, w)."""
     slim = docs.select("doc_id", "source", _tokens().alias("n"))
-    rows, name = _assigned(slim, F.col("n"), knots, total)
-    return _sorted(rows, name).select("doc_id", "source", F.col("n").alias("tokens"), F.col(name["epoch"]).alias("epoch"), F.col(name["position"]).alias("position"))
+    rows, name, demanded = _assigned(slim, F.col("n"), knots, total)
+    return _sorted(rows, name, demanded).select("doc_id", "source", F.col("n").alias("tokens"), F.col(name["epoch"]).alias("epoch"), F.col(name["position"]).alias("position"))
 
 
 def mix_documents(docs: DataFrame, knots: DataFrame | None = None, total: int | None = None) -> DataFrame:
     """The documents in training order, with all their columns; a document comes once for each epoch."""
-    rows, name = _assigned(docs, _tokens(), knots, total)
-    return _sorted(rows, name).select(docs.columns)
+    rows, name, demanded = _assigned(docs, _tokens(), knots, total)
+    return _sorted(rows, name, demanded).select(own_columns(docs))
 
 
 def op7_source_mixing(spark, sf_dir):
-    from .common import table
-
     return positions(table(spark, sf_dir, "documents"))
 
 

@@ -26,7 +26,7 @@ ranked by position.  A copy of a piece that would share a sequence with another
 sequence of its stretch with room, or to a new one.
 
 Defined results.  A null or empty text is its separator alone: every row is in the
-result.  Repeated rows are packed one by one.  Equal lengths are ranked by doc_id (nulls
+result.  Texts of any length are cut, none is dropped.  doc_id must be an integer or null.  Repeated rows are packed one by one.  Equal lengths are ranked by doc_id (nulls
 first), piece, and position.  Full pieces have sequences of their own.  Extra columns
 are ignored.  An empty table gives an empty result.
 """
@@ -41,7 +41,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, table
 
 CAPACITY = 8192
 EPS = 1 / 8
@@ -334,7 +334,7 @@ def pack_stretch(doc: np.ndarray, known: np.ndarray, piece: np.ndarray, length:
 
 
 def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, eps: float = EPS, groups: int = GROUPS, stretch: int | None = None) -> DataFrame:
-    """As pack, with sequences in the order of the rows of docs, stretch by stretch."""
+    """As pack, with sequences in the order of the rows of docs, stretch by stretch; ``position``, the piece's first token in that order, tells copies apart."""
     size = (stretch or STRETCH) * capacity
     rows = in_order(docs).select("doc_id", "tokens", "begin", F.explode(F.sequence(F.lit(0), F.expr(f"cast((tokens - 1) div {capacity} as int)"))).alias("piece"))
     start = F.col("piece").cast("long") * capacity
@@ -346,17 +346,15 @@ def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, eps: float = EPS, g
         piece, length, position = (t.column(c).to_numpy().astype(np.int64) for c in ("piece", "length", "position"))
         known = np.asarray(doc.is_valid().to_numpy(zero_copy_only=False))
         sequence, offset = pack_stretch(doc.fill_null(0).to_numpy(), known, piece, length, position, capacity, eps, groups)
-        return pa.table({"doc_id": doc, "piece": t.column("piece"), "start": piece * capacity, "length": t.column("length"), "stretch": t.column("stretch"), "sequence": sequence, "seq_offset": offset.astype(np.int32)})
+        return pa.table({"doc_id": doc, "piece": t.column("piece"), "start": piece * capacity, "length": t.column("length"), "position": position, "stretch": t.column("stretch"), "sequence": sequence, "seq_offset": offset.astype(np.int32)})
 
     by = cut.withColumn("stretch", F.expr(f"position div {size}")).groupBy("stretch")
-    local = materialize(by.applyInArrow(run, "doc_id long, piece int, start long, length int, stretch long, sequence long, seq_offset int"), "stretches")
+    local = materialize(by.applyInArrow(run, "doc_id long, piece int, start long, length int, position long, stretch long, sequence long, seq_offset int"), "stretches")
     counts = local.groupBy("stretch").agg((F.max("sequence") + 1).alias("n"))  # a row a stretch
     before = F.coalesce(F.sum("n").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(F.col("stretch").alias("o_stretch"), before.alias("before"))
-    return local.join(counts, F.col("stretch") == F.col("o_stretch")).select("doc_id", "piece", "start", "length", (F.col("sequence") + F.col("before")).alias("sequence"), "seq_offset")
+    return local.join(counts, F.col("stretch") == F.col("o_stretch")).select("doc_id", "piece", "start", "length", "position", (F.col("sequence") + F.col("before")).alias("sequence"), "seq_offset")
 
 
 def op2_best_fit_packing(spark, sf_dir):
-    from .common import table
-
     return pack(table(spark, sf_dir, "documents"))

@@ -114,6 +114,61 @@ def test_packing_plan(capacity):
         assert len(fill) <= 1.25 * lower + packing.GROUPS + 2
 
 
+def fewest(items, capacity):
+    """The least number of sequences, by trying all placements."""
+    items = sorted(items, reverse=True)
+    best = [len(items)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(rooms)
+            return
+        for j in range(len(rooms)):
+            if rooms[j] >= items[i] and rooms[j] not in rooms[:j]:
+                go(i + 1, [*rooms[:j], rooms[j] - items[i], *rooms[j + 1 :]])
+        go(i + 1, [*rooms, capacity - items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def best_fit(items, capacity):
+    rooms = []
+    for x in sorted(items, reverse=True):
+        fits = [(r, j) for j, r in enumerate(rooms) if r >= x]
+        if fits:
+            rooms[min(fits)[1]] -= x
+        else:
+            rooms.append(capacity - x)
+    return len(rooms)
+
+
+def sequences(items, capacity):
+    runs = packing.plan(dict(Counter(items)), capacity)
+    return max((r[3] + -(-r[2] // r[4]) for r in runs.tolist()), default=0)
+
+
+def test_packing_against_exact_packings_of_small_instances():
+    rng = random.Random(11)
+    more = []
+    for _ in range(150):
+        capacity = rng.choice([12, 20, 50])
+        items = [rng.randint(1, capacity) for _ in range(rng.randint(1, 9))]
+        got, want = sequences(items, capacity), fewest(items, capacity)
+        assert want <= got <= want + 1
+        more.append(got - want)
+    assert np.mean(more) < 0.1
+
+
+def test_packing_against_plain_best_fit():
+    rng = random.Random(12)
+    for size, spread in ((300, 0.3), (2000, 0.3), (2000, 0.9), (2000, 0.05)):
+        items = [min(1000, max(1, int(rng.expovariate(1 / (spread * 1000))))) for _ in range(size)]
+        assert sequences(items, 1000) <= 1.03 * best_fit(items, 1000) + 3
+
+
 def test_packing_groups_and_configurations():
     g = packing.linear_groups([(9, 3), (7, 5), (2, 2)], 3)
     assert [sum(n for _, n in x) for x in g] == [4, 4, 2] and g[0] == [(9, 3), (7, 1)]
@@ -507,8 +562,13 @@ def test_mixing_sql_and_targets(spark, small):
     duck.same(got, mixing.ORACLE, small)
     rows = got.toPandas()
     assert set(rows.doc_id) == {r.doc_id for r in docs.select("doc_id").collect()}
-    parts = [p["position"].to_numpy() for p in [rows]]
-    assert (np.diff(parts[0]) >= 0).all() or rows.position.is_monotonic_increasing
+    assert rows.position.is_monotonic_increasing
+
+
+def test_mixing_spreads_null_ids(spark):
+    docs = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.expr("repeat('x', int(id % 50))").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"))
+    got = mixing.positions(docs).toPandas()
+    assert duck.rows(got) == duck.rows(duck.run(mixing.ORACLE, documents=docs.toArrow()))
 
 
 def test_mixing_follows_the_schedule(spark):

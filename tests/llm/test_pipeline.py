@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tessera.llm import common, langid, mixing, packing, quality, simhash
 from tests import duck
-from tests.llm.test_operators import brute_likelihood, union_find
+from tests.llm.test_operators import SCHEMA, awkward, brute_likelihood, union_find
 
 
 def test_against_brute_force(spark, small):
@@ -102,6 +102,58 @@ def test_packing_keeps_the_order_of_training(spark, monkeypatch):
         assert max(Counter(x[2] for x in parts).values()) == 1
 
 
+def test_sequences_follow_the_curriculum(spark, monkeypatch):
+    """Shares of sources in windows of sequences are those of the default schedule."""
+    monkeypatch.setattr(packing, "STRETCH", 4)
+    size = {"a": 6000, "b": 1500, "c": 500}
+    docs = spark.createDataFrame([(i * 3 + j, "x" * 700, "en", s, 700) for j, (s, n) in enumerate(size.items()) for i in range(n)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = common.materialize(corpus_pipeline.STAGES[3][1](spark, docs, ""), "mixed")
+    got = corpus_pipeline.STAGES[4][1](spark, mixed, "").toPandas()
+    assert not got.duplicated(["doc_id", "piece", "position"]).any() and got.duplicated(["doc_id", "piece"]).any()
+    got["source"] = got.doc_id.map({i * 3 + j: s for j, (s, n) in enumerate(size.items()) for i in range(n)})
+    natural, root = ({s: f(n) / sum(map(f, size.values())) for s, n in size.items()} for f in (float, lambda n: n**0.5))
+    last = got.sequence.max() + 1
+    for w in range(8):
+        cut = got[(got.sequence >= w * last / 8) & (got.sequence < (w + 1) * last / 8)]
+        t = (w + 0.5) / 8
+        for s in size:
+            want = natural[s] + max(0.0, t - mixing.HOLD) / (1 - mixing.HOLD) * (root[s] - natural[s])
+            assert abs(cut[cut.source == s].length.sum() / cut.length.sum() - want) < 0.03
+
+
+def test_pipeline_of_awkward_rows(spark):
+    """Nulls, blanks, long texts, repeated rows, ties and clashing columns through all stages."""
+    plain = [(100 + i, " ".join(f"{w}{'abcdefghij'[(i * 7 + j) % 10]}" for j, w in enumerate("the cat sat on a mat and ate some cake today".split())) + f" {'klmnopq'[i % 7] * (1 + i % 5)}", "en", "a", 50) for i in range(150)]
+    docs = awkward(spark, extra=True)
+    more = spark.createDataFrame(plain, SCHEMA)
+    docs = docs.unionByName(more.select("*", *[F.lit("mine").alias(c) for c in docs.columns if c not in more.columns]))
+    stages = []
+    for name, stage in corpus_pipeline.STAGES:
+        stages.append(docs)
+        docs = common.materialize(stage(spark, docs, ""), "awkward")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == stages[0].columns
+    first, language, near, mixed = (Counter(r.doc_id for r in d.select("doc_id").collect()) for d in stages[1:])
+    assert not {2, 3, 6} & set(first) and not language - first and not near - language
+    assert near[1] <= 1 and set(mixed) == set(near)
+    want = Counter()
+    for r in stages[4].select("doc_id", F.octet_length("text").alias("n")).collect():
+        want[r.doc_id] += r.n + 1
+    have = Counter()
+    for r in docs.collect():
+        have[r.doc_id] += r.length
+    assert have == want
+
+
+def test_pipeline_leaves_nothing_but_its_result(spark, small):
+    import os
+
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, small)
+    assert out.count() > 0 and len(set(os.listdir(folder)) - before) == 1
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
