@@ -3,6 +3,12 @@
 Each stage is (name, function); the function takes (spark, docs, sf_dir) and returns
 a DataFrame, which is written to the shared folder as Parquet and read again as the next one's docs.  All
 but the last return the columns of documents.
+
+Defined results.  Documents with null, empty or blank texts go in the first stage.  Documents of null doc_id aren't compared
+with others; they are kept, mixed (first in their source) and packed.  Repeated rows are rejected or kept one by one until near-dedup leaves one.  Null languages and
+sources are the empty one to the quality rules and to mixing; language ID keeps documents without a declared language.  A text longer than a sequence
+is cut, without loss.  Ties are broken as the stages' modules say.  Extra columns go through all stages but the last under any name.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import langid, mixing, packing, quality, simhash
-from tessera.llm.common import drop, materialize, table
+from tessera.llm.common import mark, materialize, sweep, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, written = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
+    """All stages; of what they write only the result stays."""
+    docs, since = table(spark, sf_dir, "documents"), mark()
+    for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        if written is not None:
-            drop(spark, written)  # one stage's documents are on disk at a time
-        written = docs
-    return STAGES[-1][1](spark, docs, sf_dir)
+        sweep(spark, since, keep=docs)
+    return docs
