@@ -1,19 +1,19 @@
 """Media columns: dimensions, DC-only thumbnails and hashes of baseline JPEG images.
 
 The markers are parsed, the scans' Huffman codes are decoded (coefficients other than DC only
-to be skipped), and the DC values of the first component give a luminance thumbnail of one
-pixel for each of its 8 x 8 blocks.  No picture is ever reconstructed in full.  The hash
+to be skipped: one look at the next 16 bits skips all that are whole there), and the DC values of the first component give a luminance thumbnail of one
+pixel for each of its 8 x 8 blocks.  Where an Adobe marker says that the components are RGB, CMYK or YCCK, the luminance is computed from the DC values of all.  No picture is ever reconstructed in full.  The hash
 has a bit for each of 8 x 8 horizontal neighbours in a 9 x 8 sample of the thumbnail
 that gets brighter to the right.
 
 ``decode_media`` works on any binary column.  The corpus has no pictures, so the query makes a media column
-from ``embeddings``: each vector is drawn as an 8 x 8 field of grey levels, enlarged and
+from ``embeddings``: each vector is drawn, with all its entries, as a square field of grey levels, enlarged and
 textured, in sizes and colour layouts that depend on the vector, and encoded by ``encode`` (baseline,
 standard tables, with and without chroma subsampling and restart markers).
 
 Defined results (``status``): ``ok``; ``null``; ``not_jpeg`` (no start marker; empty included);
 ``unsupported`` (progressive, arithmetic, lossless, 12 bits); ``corrupt`` (a broken or
-truncated stream).  Dimensions are given as soon as the frame header was read; thumbnail and
+truncated stream; a whole scan without an end marker is ok).  Pictures of any size are decoded whole.  Ties don't arise.  Dimensions are given as soon as the frame header was read; thumbnail and
 hash only with ``ok``.  Rows are decoded one by one, repeated ones too; every row is in the
 result.  Extra columns are kept unless they have the name of a result, which then wins.  An
 empty table gives an empty result.
@@ -21,8 +21,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import struct
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named, own_name, table
+
 RESULT = "status string, width int, height int, components int, thumb_width int, thumb_height int, thumb binary, thumb_hash long"
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
 
@@ -55,16 +57,40 @@ def lookup(spec: bytes) -> list[int]:
     return table
 
 
-def _segment(data: bytes, plan: list[tuple[int, list[int], list[int]]], units: int, out: list[list[int]]) -> None:
-    """Decode a run without restart markers: ``units`` times the blocks of ``plan`` (component, DC table, AC table); DC values are appended to out."""
+@lru_cache(maxsize=64)
+def skips(spec: bytes) -> tuple[list[int], list[int]]:
+    """For the next 16 bits: (all AC codes that are whole there, the first one), as bits << 8 | end of block << 7 | coefficients, or -1."""
+    one = np.array(lookup(spec))
+    symbol = one & 255
+    size = symbol & 15
+    end = (size == 0) & (symbol != 0xF0)
+    bits = np.where(one < 0, 0, (one >> 8) + size)
+    step = np.where(end, 0, np.where(size == 0, 16, (symbol >> 4) + 1))
+    first = np.where(one < 0, -1, bits << 8 | end << 7 | step)
+    at, all_bits, all_steps, ended = np.arange(65536), bits.copy(), step.copy(), end.copy()
+    more = (one >= 0) & ~end & (bits < 16)
+    while more.any():
+        i = np.flatnonzero(more)
+        j = (at[i] << all_bits[i]) & 65535
+        fits = (one[j] >= 0) & (all_bits[i] + bits[j] <= 16) & (all_steps[i] + step[j] <= 63)
+        more[i[~fits]] = False
+        i, j = i[fits], j[fits]
+        all_bits[i] += bits[j]
+        all_steps[i] += step[j]
+        ended[i] = end[j]
+        more[i] = ~end[j] & (all_bits[i] < 16)
+    return np.where(one < 0, -1, all_bits << 8 | ended << 7 | all_steps).tolist(), first.tolist()
+
+
+def _segment(data: bytes, plan: list[tuple[int, list[int], tuple[list[int], list[int]]]], units: int, out: list[list[int]]) -> None:
+    """Decode a run without restart markers: ``units`` times the blocks of ``plan`` (component, DC table, AC tables); DC values are appended to out."""
     data = data.replace(b"\xff\x00", b"\xff")
     size = len(data) * 8
     data += b"\xff" * 16
     at, acc, have = 0, 0, 0  # next byte, bit buffer, its bits
     pred = [0] * len(out)
-    used = 0
     for _ in range(units):
-        for comp, dc, ac in plan:
+        for comp, dc, (ac, ac_one) in plan:
             if have < 32:
                 acc = ((acc & ((1 << have) - 1)) << 48) | int.from_bytes(data[at : at + 6])
                 at += 6
@@ -74,7 +100,6 @@ def _segment(data: bytes, plan: list[tuple[int, list[int], list[int]]], units: i
             if hit < 0 or s > 11:
                 raise ValueError("DC code")
             have -= hit >> 8
-            used += (hit >> 8) + s
             if s:
                 have -= s
                 v = (acc >> have) & ((1 << s) - 1)
@@ -87,21 +112,19 @@ def _segment(data: bytes, plan: list[tuple[int, list[int], list[int]]], units: i
                     at += 6
                     have += 48
                 hit = ac[(acc >> (have - 16)) & 65535]
+                to = k + (hit & 127)
+                if to >= 64 and hit >= 0:  # the last codes may be of the next block
+                    hit = ac_one[(acc >> (have - 16)) & 65535]
+                    to = k + (hit & 127)
                 if hit < 0:
                     raise ValueError("AC code")
-                s = hit & 15
-                take = (hit >> 8) + s
-                have -= take
-                used += take
-                if s:
-                    k += ((hit >> 4) & 15) + 1
-                elif hit & 255 == 0xF0:
-                    k += 16
-                else:
+                have -= hit >> 8
+                if hit & 128:
                     break
+                k = to
             if k > 64:
                 raise ValueError("run of coefficients")
-            if used > size:
+            if at * 8 - have > size:
                 raise ValueError("end of scan data")
 
 
@@ -125,12 +148,15 @@ def decode(data: bytes | None) -> tuple:
 
 def _thumbnail(data: bytes, head: list) -> np.ndarray:
     quant: dict[int, int] = {}
-    tables: dict[tuple[int, int], list[int]] = {}
+    tables: dict[tuple[int, int], list[int] | tuple[list[int], list[int]]] = {}
+    adobe: int | None = None
     frame: list[tuple[int, int, int, int]] = []  # id, h, v, quantization table
     restart, at, width, height = 0, 2, 0, 0
     dcs: dict[int, tuple[list[int], int]] = {}  # component -> values, blocks a row
     while True:
-        while data[at] != 0xFF:
+        if at >= len(data) and 0 in dcs:
+            break  # no end marker
+        if data[at] != 0xFF:
             raise ValueError("marker expected")
         while data[at] == 0xFF:
             at += 1
@@ -157,7 +183,8 @@ def _thumbnail(data: bytes, head: list) -> np.ndarray:
                 n = sum(body[k + 1 : k + 17])
                 if len(body) < k + 17 + n:
                     raise ValueError("code table")
-                tables[body[k] >> 4, body[k] & 15] = lookup(bytes(body[k + 1 : k + 17 + n]))
+                spec = bytes(body[k + 1 : k + 17 + n])
+                tables[body[k] >> 4, body[k] & 15] = skips(spec) if body[k] >> 4 else lookup(spec)
                 k += 17 + n
         elif 0xC0 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
             depth, height, width, n = struct.unpack(">BHHB", body[:6])
@@ -169,6 +196,8 @@ def _thumbnail(data: bytes, head: list) -> np.ndarray:
                 raise ValueError("frame")
         elif marker in (0xCC, 0xC8):
             raise Unsupported
+        elif marker == 0xEE and body[:5] == b"Adobe" and len(body) >= 12:
+            adobe = body[11]
         elif marker == 0xDD:
             restart = int.from_bytes(body[:2])
         elif marker == 0xDA:
@@ -176,7 +205,8 @@ def _thumbnail(data: bytes, head: list) -> np.ndarray:
             while True:
                 end = data.find(b"\xff", end)
                 if end < 0 or end + 1 >= len(data):
-                    raise ValueError("end of data in a scan")
+                    end = len(data)
+                    break
                 if data[end + 1] == 0 or 0xD0 <= data[end + 1] <= 0xD7:
                     end += 2
                     continue
@@ -216,11 +246,25 @@ def _thumbnail(data: bytes, head: list) -> np.ndarray:
             for i, s in shape.items():
                 dcs[i] = (out[i], s)
             at = end
-    values, (across, h, v) = dcs[0]
     hmax, vmax = max(f[1] for f in frame), max(f[2] for f in frame)
-    grid = np.array(values, dtype=np.int64).reshape(-1, across, v, h).transpose(0, 2, 1, 3).reshape(-1, across * h)
-    grid = grid[: -(-(-(-height * frame[0][2] // vmax)) // 8), : -(-(-(-width * frame[0][1] // hmax)) // 8)]
-    return np.clip(np.floor(grid * quant[frame[0][3]] / 8 + 128.5), 0, 255).astype(np.uint8)
+
+    def plane(i: int) -> np.ndarray:
+        values, (across, h, v) = dcs[i]
+        grid = np.array(values, dtype=np.int64).reshape(-1, across, v, h).transpose(0, 2, 1, 3).reshape(-1, across * h)
+        grid = grid[: -(-(-(-height * frame[i][2] // vmax)) // 8), : -(-(-(-width * frame[i][1] // hmax)) // 8)]
+        return np.clip(np.floor(grid * quant[frame[i][3]] / 8 + 128.5), 0, 255)
+
+    y = plane(0)
+
+    def like_first(i: int) -> np.ndarray:
+        p = plane(i)
+        return p[np.arange(y.shape[0]) * p.shape[0] // y.shape[0]][:, np.arange(y.shape[1]) * p.shape[1] // y.shape[1]]
+
+    if len(frame) == 3 and (adobe == 0 or (adobe is None and bytes(f[0] for f in frame) == b"RGB")) or len(frame) == 4 and not adobe:
+        y = 0.299 * y + 0.587 * like_first(1) + 0.114 * like_first(2)
+    if len(frame) == 4:  # inks are stored as what they leave
+        y = y * like_first(3) / 255
+    return np.floor(y + 0.5).astype(np.uint8)
 
 
 def thumb_hash(thumb: np.ndarray) -> int:
@@ -240,9 +284,9 @@ def decode_media(media: DataFrame, column: str) -> DataFrame:
         )
 
     names = {c.split()[0] for c in RESULT.split(", ")}
-    keep = [media[c] for c in media.columns if c != column and c.lower() not in names]
-    packed = media.select(*keep, run(media[column]).alias("tessera__jpeg"))
-    return packed.select(*[c for c in packed.columns if c != "tessera__jpeg"], "tessera__jpeg.*")
+    keep = [named(c) for c in media.columns if c != column and c.lower() not in names]
+    own = own_name(media, "jpeg")
+    return media.select(*keep, run(named(column)).alias(own)).select(*keep, f"{own}.*")
 
 
 # ---- a baseline encoder, for media columns and tests
@@ -319,12 +363,13 @@ def encode(planes: list[np.ndarray], factors: list[tuple[int, int]] | None = Non
 
 def draw(vec_id: int, vector: np.ndarray) -> bytes:
     """The picture of a vector."""
-    field = np.zeros(64)
-    field[: min(64, len(vector))] = np.nan_to_num(np.asarray(vector, float)[:64])
+    side = max(8, math.isqrt(max(len(vector) - 1, 0)) + 1)
+    field = np.zeros(side * side)
+    field[: len(vector)] = np.nan_to_num(np.asarray(vector, float))
     spread = max(float(np.abs(field).max()), 1e-9)
-    grey = np.clip(128 + 100 * field / spread, 0, 255).reshape(8, 8)
-    height, width = 40 + vec_id % 5 * 4, 40 + vec_id % 7 * 3
-    big = grey[(np.arange(height) * 8 // height)][:, np.arange(width) * 8 // width] + (np.arange(width) % 4)[None] * 3.0
+    grey = np.clip(128 + 100 * field / spread, 0, 255).reshape(side, side)
+    height, width = 5 * side + vec_id % 5 * 4, 5 * side + vec_id % 7 * 3
+    big = grey[(np.arange(height) * side // height)][:, np.arange(width) * side // width] + (np.arange(width) % 4)[None] * 3.0
     luma = np.clip(big, 0, 255).astype(np.uint8)
     if vec_id % 3 == 0:
         return encode([luma], restart=(3 if vec_id % 2 else 0))
@@ -345,6 +390,4 @@ def pictures(embeddings: DataFrame) -> DataFrame:
 
 
 def op9_media_jpeg(spark, sf_dir):
-    from .common import table
-
     return decode_media(pictures(table(spark, sf_dir, "embeddings")), "image")

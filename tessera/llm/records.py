@@ -2,20 +2,22 @@
 
 A record is the length of its payload (eight bytes), the masked CRC-32C of those eight
 bytes, the payload, and the payload's masked CRC-32C: the TFRecord framing.  A payload is one serialized
-sequence: a flag byte (1: no doc_id, 2: no text), the doc_id (eight bytes) and the token
-ids, little-endian, two bytes each (four if the vocabulary has more than 65,536).
+sequence: a flag byte (1: no doc_id, 2: no text, 4: four bytes an id), the doc_id (eight bytes) and the token
+ids, little-endian, two bytes each (four if the vocabulary has more than 65,536, as the flag tells the reader).
 
 Each task writes one file whose name holds the number of its attempt, and returns its part of the
 index; the index is a Parquet table of its own.  A task that runs again writes another
 file, and the index names the one that counts, so lost executors and
-speculation do no harm.  ``read_records`` reads records in any order by offset
+speculation do no harm; files that the index doesn't name are removed at the end.  Data files are written where executors write, by Arrow's
+file systems: folders of file:, hdfs: (libhdfs), s3: or s3a:, gs: and abfs: or abfss: are supported, others are an error at once.
+The vocabulary is read by the driver and broadcast: its size doesn't depend on the data.  ``read_records`` reads records in any order by offset
 and length, checks both checksums, and gives the token ids back.
 
 Checksums are computed for all records of a batch together: CRC-32C is linear over
 XOR, so a block's checksum is the XOR of a table entry for each byte and place.
 
 Defined results.  A null or empty text is a record without tokens; null texts and null doc_ids
-come back as such.  Repeated rows are records of their own.  Special tokens' strings in a text are
+come back as such.  Texts of any length are one record.  doc_id must be an integer.  Ties don't arise.  Repeated rows are records of their own.  Special tokens' strings in a text are
 ordinary text.  Extra columns are ignored.  An empty table gives an empty index.
 """
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The usual split of byte-level vocabularies into words before merging.
@@ -94,14 +96,35 @@ def masked(crc: np.ndarray) -> np.ndarray:
     return ((crc >> np.uint32(15)) | (crc << np.uint32(17))) + np.uint32(0xA282EAD8)
 
 
-def encoder(path: str):
+def vocabulary_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def encoder(ranks: dict[bytes, int]):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Hadoop's schemes -> Arrow's.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def file_system(folder: str):
+    """(Arrow's file system, path in it) of a folder as Hadoop names it."""
+    from pyarrow import fs
+
+    scheme, colon, rest = folder.partition(":")
+    if not colon or "/" in scheme:
+        scheme, rest = "file", f"//{folder}"
+    if scheme not in SCHEMES:
+        raise ValueError(f"no records can be written to {scheme}: folders")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{rest}")
+
+
 def frame(ids: list, doc_ids: np.ndarray, flags: np.ndarray, dtype, crc: Crc32c) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, lengths of the payloads, checksums of the payloads)."""
     width = np.dtype(dtype).itemsize
@@ -126,19 +149,18 @@ def frame(ids: list, doc_ids: np.ndarray, flags: np.ndarray, dtype, crc: Crc32c)
 def write_records(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Write the records to ``path``/data and their index to ``path``/index; returns the index, read back."""
     spark = docs.sparkSession
-    from pyarrow import fs as pafs
-
     folder = f"{path}/data"
-    disk, base = pafs.FileSystem.from_uri(folder)
+    disk, base = file_system(folder)
     disk.create_dir(base, recursive=True)
+    ranks = spark.sparkContext.broadcast(vocabulary_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        coder, crc = encoder(vocabulary), Crc32c()
+        coder, crc = encoder(ranks.value), Crc32c()
         dtype = np.dtype("<u2" if coder.max_token_value < 1 << 16 else "<u4")
-        disk, base = pafs.FileSystem.from_uri(folder)
+        disk, base = file_system(folder)
         name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}.rec"
         at, record, sink = 0, 0, None
         try:
@@ -147,7 +169,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> D
                     c = b.slice(lo, 256)
                     texts = c.column(1).to_pylist()
                     ids = [coder.encode_ordinary(t) if t else [] for t in texts]
-                    flags = np.array(c.column(0).is_null(), dtype=np.uint8) + 2 * np.array(c.column(1).is_null(), dtype=np.uint8)
+                    flags = np.array(c.column(0).is_null(), dtype=np.uint8) + 2 * np.array(c.column(1).is_null(), dtype=np.uint8) + np.uint8(4 * (dtype.itemsize == 4))
                     data, offsets, lengths, sums = frame(ids, c.column(0).fill_null(0).to_numpy(), flags, dtype, crc)
                     sink = sink or disk.open_output_stream(f"{base}/{name}")
                     sink.write(data.tobytes())
@@ -163,20 +185,29 @@ def write_records(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> D
                 sink.close()
 
     docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX).write.parquet(f"{path}/index")
-    return spark.read.schema(INDEX).parquet(f"{path}/index")
+    index = spark.read.schema(INDEX).parquet(f"{path}/index")
+    named = {r["file"] for r in index.select("file").distinct().toLocalIterator()}  # as many as tasks
+    for f in disk.get_file_info(_selector(base)):
+        if f.base_name not in named:  # of an attempt that failed or wasn't needed
+            disk.delete_file(f.path)
+    return index
 
 
-def read_records(index: DataFrame, path: str, width: int = 2, seed: int | None = None) -> DataFrame:
-    """(doc_id, tokens, has_text) of the records of ``index``; shuffled if there is a seed."""
-    from pyarrow import fs as pafs
+def _selector(base: str):
+    from pyarrow import fs
+
+    return fs.FileSelector(base)
 
+
+def read_records(index: DataFrame, path: str, seed: int | None = None) -> DataFrame:
+    """(doc_id, tokens, has_text) of the records of ``index``; shuffled if there is a seed."""
     folder = f"{path}/data"
     if seed is not None:
         index = index.orderBy(F.xxhash64(F.lit(seed), "file", "record"), "file", "record")
     crc = Crc32c()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        disk, base = pafs.FileSystem.from_uri(folder)
+        disk, base = file_system(folder)
         opened: dict = {}
         for b in batches:
             ids, tokens, has = [], [], []
@@ -191,7 +222,7 @@ def read_records(index: DataFrame, path: str, width: int = 2, seed: int | None =
                 flag = int(raw[12])
                 ids.append(None if flag & 1 else told(13, "<i8"))
                 has.append(not flag & 2)
-                tokens.append(raw[12 + HEAD : 12 + length].view(f"<u{width}").astype(np.int32))
+                tokens.append(raw[12 + HEAD : 12 + length].view("<u4" if flag & 4 else "<u2").astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.list_(pa.int32())), pa.array(has, pa.bool_())], names=["doc_id", "tokens", "has_text"])
 
     return index.select("file", "offset", "length").mapInArrow(run, "doc_id long, tokens array<int>, has_text boolean")
@@ -199,6 +230,4 @@ def read_records(index: DataFrame, path: str, width: int = 2, seed: int | None =
 
 def op8_binary_records(spark, sf_dir):
     """Writes the records of all documents to the shared folder; the result is their index."""
-    from .common import table
-
     return write_records(table(spark, sf_dir, "documents"), fresh_path(spark, "records"))

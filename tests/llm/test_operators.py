@@ -621,7 +621,7 @@ def test_records_round_trip(spark):
     docs = awkward(spark, extra=True)
     path = common.fresh_path(spark, "test-records")
     index = records.write_records(docs, path)
-    coder = records.encoder(records.VOCABULARY)
+    coder = records.encoder(records.vocabulary_ranks(records.VOCABULARY))
     want = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
     got = records.read_records(index, path, seed=11).collect()
     assert sorted(((r.doc_id, coder.decode(r.tokens) if r.has_text else None) for r in got), key=str) == want
@@ -641,6 +641,32 @@ def test_records_round_trip(spark):
     assert records.write_records(empty(spark), common.fresh_path(spark, "test-none")).count() == 0
 
 
+def test_records_of_large_vocabularies_and_other_folders(spark, tmp_path):
+    """Four-byte ids are read back as such without being told; files that the index doesn't name go."""
+    ranks = records.vocabulary_ranks(records.VOCABULARY)
+    wide = dict(ranks)
+    wide["ü one more".encode()] = 70_000
+    import base64
+
+    (tmp_path / "wide.tiktoken").write_bytes(b"\n".join(base64.b64encode(k) + b" %d" % v for k, v in wide.items()))
+    path = common.fresh_path(spark, "test-wide")
+    data = tmp_path / "x"
+    local = path.removeprefix("file://").removeprefix("file:")
+    import os
+
+    os.makedirs(f"{local}/data")
+    open(f"{local}/data/part-00000-999.rec", "wb").close()
+    docs = awkward(spark)
+    index = records.write_records(docs, path, str(tmp_path / "wide.tiktoken"))
+    assert set(os.listdir(f"{local}/data")) == {r.file for r in index.select("file").distinct().collect()}
+    coder = records.encoder(wide)
+    got = records.read_records(index, path).collect()
+    assert sorted(((r.doc_id, coder.decode(r.tokens) if r.has_text else None) for r in got), key=str) == sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+    assert records.file_system(str(data))[1] == records.file_system(f"file://{data}")[1] == records.file_system(f"file:{data}")[1] == str(data)
+    with pytest.raises(ValueError, match="wasb"):
+        records.file_system("wasb://somewhere/x")
+
+
 # ---- 9
 
 
@@ -655,8 +681,65 @@ def test_jpeg_thumbnails_against_block_means():
         got = np.frombuffer(thumb, np.uint8).reshape(th, tw)
         want = np.pad(p, ((0, -h % 8), (0, -w % 8)), mode="edge").astype(float).reshape(-(-h // 8), 8, -(-w // 8), 8).mean((1, 3))
         assert got.shape == want.shape and np.abs(got - want).max() <= 1.6 and hashed == jpeg.thumb_hash(got)
-        for cut in (3, len(data) // 3, len(data) - 2):
+        for cut in (3, len(data) // 3):
             assert jpeg.decode(data[:cut])[0] == "corrupt"
+        assert jpeg.decode(data[:-2]) == jpeg.decode(data)  # without an end marker
+
+
+def java_jpeg(spark, picture, progressive=False):
+    """(bytes, decoded picture) by Java's own encoder and decoder; picture: (height, width, 3) red, green, blue."""
+    jvm, gw = spark._jvm, spark.sparkContext._gateway
+    jvm.java.lang.System.setProperty("java.awt.headless", "true")
+    h, w = picture.shape[:2]
+    image = jvm.java.awt.image.BufferedImage(w, h, 5)  # TYPE_3BYTE_BGR
+    image.getRaster().setDataElements(0, 0, w, h, bytearray(np.ascontiguousarray(picture).tobytes()))
+    sink = jvm.java.io.ByteArrayOutputStream()
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpg").next()
+    param = writer.getDefaultWriteParam()
+    if progressive:
+        param.setProgressiveMode(1)
+    writer.setOutput(jvm.javax.imageio.ImageIO.createImageOutputStream(sink))
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), param)
+    writer.getOutput().close()
+    data = bytes(sink.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data)))
+    assert back.getType() == 5 and gw
+    return data, np.frombuffer(bytes(back.getRaster().getDataBuffer().getData()), np.uint8).reshape(h, w, 3)[:, :, ::-1]
+
+
+def test_jpeg_of_an_outside_encoder(spark):
+    """Java's encoder has the standard Huffman tables and subsamples colours 4:2:0."""
+    rng = np.random.default_rng(3)
+    for h, w in ((64, 64), (37, 90), (200, 151)):
+        y, x = np.mgrid[0:h, 0:w]
+        picture = np.stack([(x * 3 + y) % 256, (y * 5) % 256, 128 + 100 * np.sin(x / 9)], 2) + rng.integers(-20, 20, (h, w, 3))
+        data, back = java_jpeg(spark, np.clip(picture, 0, 255).astype(np.uint8))
+        assert b"\x03\x01\x22\x00" in data  # three components, the first with 2 x 2 blocks a unit
+        status, width, height, n, tw, th, thumb, hashed = jpeg.decode(data)
+        assert (status, width, height, n) == ("ok", w, h, 3)
+        luma = back @ [0.299, 0.587, 0.114]
+        whole = luma[: h // 8 * 8, : w // 8 * 8].reshape(h // 8, 8, w // 8, 8).mean((1, 3))
+        assert np.abs(np.frombuffer(thumb, np.uint8).reshape(th, tw)[: h // 8, : w // 8] - whole).max() <= 4
+    assert jpeg.decode(java_jpeg(spark, np.zeros((20, 20, 3), np.uint8), progressive=True)[0])[0] == "unsupported"
+
+
+def test_jpeg_colours_other_than_luminance_first():
+    rng = np.random.default_rng(6)
+    planes = [rng.integers(0, 256, (4, 5)).repeat(8, 0).repeat(8, 1).astype(np.uint8) for _ in range(4)]
+    mean = lambda p: p.reshape(4, 8, 5, 8).mean((1, 3))
+    adobe = lambda t: b"\xff\xee\x00\x0eAdobe\x00\x64\x00\x00\x00\x00" + bytes([t])
+    tag = lambda data, t: data[:2] + adobe(t) + data[2:]
+    thumb = lambda data: np.frombuffer(jpeg.decode(data)[6], np.uint8).reshape(4, 5)
+    three, four = jpeg.encode(planes[:3], q=4), jpeg.encode(planes, q=4)
+    grey = 0.299 * mean(planes[0]) + 0.587 * mean(planes[1]) + 0.114 * mean(planes[2])
+    assert np.abs(thumb(tag(three, 0)) - grey).max() <= 1.5 and np.abs(thumb(tag(three, 1)) - mean(planes[0])).max() <= 1.5
+    assert np.abs(thumb(tag(four, 0)) - grey * mean(planes[3]) / 255).max() <= 2
+    assert np.abs(thumb(tag(four, 2)) - mean(planes[0]) * mean(planes[3]) / 255).max() <= 2
+
+
+def test_jpeg_draws_every_entry():
+    long = np.concatenate([np.zeros(64), np.ones(36)])
+    assert jpeg.draw(0, long) != jpeg.draw(0, np.zeros(100)) and jpeg.decode(jpeg.draw(4, long))[0] == "ok"
 
 
 def test_jpeg_edges(spark):
