@@ -44,11 +44,16 @@ def suggest(t: RawTable, exact_values: dict[str, list[str]] | None = None) -> li
     return out
 
 
-def small_domains(df: DataFrame, most: int = 5) -> Domains:
-    """Columns with at most ``most`` distinct values, with all of them: a sketch first, exact sets for the few that may be."""
+def small_domains(df: DataFrame, most: int = 5, samples: Domains | None = None) -> Domains:
+    """Columns with at most ``most`` distinct values, with all of them: a sketch first, exact sets for the few that may be.
+
+    Columns of which ``samples`` has more values already aren't read at all.
+    """
     from .profile import plain_columns
 
-    cols = plain_columns(df)
+    cols = [c for c in plain_columns(df) if samples is None or len(set(samples.get(c, []))) <= most]
+    if not cols:
+        return {}
     near = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
     few = [c for c in cols if near[c] <= 2 * most]
     if not few:
@@ -58,6 +63,6 @@ def small_domains(df: DataFrame, most: int = 5) -> Domains:
 
 
 def last_days(df: DataFrame, ts: str, days: int = DAYS) -> DataFrame:
-    """Rows of the last days before the newest one: anchored in the data, not at the clock."""
-    top = df.agg(F.max(ts).alias("__newest"))
-    return df.crossJoin(F.broadcast(top)).filter(F.col(ts) >= F.col("__newest") - F.expr(f"INTERVAL {days} DAYS")).drop("__newest")  # one row
+    """Rows of the last days before the newest one: anchored in the data, not at the clock.  The bound is a scalar subquery, which the scan can use."""
+    newest = df.agg(F.max(ts)).scalar()
+    return df.filter(F.col(ts) >= newest - F.expr(f"INTERVAL {days} DAYS"))

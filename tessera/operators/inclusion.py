@@ -11,23 +11,32 @@ from pyspark.sql import functions as F
 EVIDENCE = ["rows_child", "null_rows", "ndv_child", "ndv_parent", "ndv_union", "orphan_keys", "orphan_rows", "max_child", "max_parent"]
 
 
-def _keyed(df: DataFrame, cols: list[str], names: list[str], count: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(n) for c, n in zip(cols, names, strict=True)]).groupBy(*names).agg(F.count(F.lit(1)).alias(count))
+def _key(cols: list[str]) -> Column:
+    """A key as text; null if a part is; parts of several have their lengths in front, so that they can't run together."""
+    parts = [F.col(c).cast("string") for c in cols]
+    return parts[0] if len(parts) == 1 else F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
 
 
-def inclusion(child: DataFrame, child_cols: list[str], parent: DataFrame, parent_cols: list[str]) -> DataFrame:
-    """One row of EVIDENCE and coverage for child columns that refer to parent columns.
+def _tagged(uses: list[tuple[DataFrame, list[str], dict]]) -> DataFrame:
+    """A row (tags, key) for each use of each row; every DataFrame is read once, and only its key columns."""
+    frames: dict[int, tuple[DataFrame, list[Column]]] = {}
+    for df, cols, tags in uses:
+        frames.setdefault(id(df), (df, []))[1].append(F.struct(*[F.lit(v).alias(k) for k, v in tags.items()], _key(cols).alias("key")))
+    return reduce(DataFrame.unionByName, [df.select(F.explode(F.array(*structs)).alias("u")).select("u.*") for df, structs in frames.values()])
+
 
-    Both sides are counted by key before they meet (partial counts on the map side), so the join is of
-    distinct keys.  A key with a null part is null.
+def inclusions(edges: list[tuple[DataFrame, list[str], DataFrame, list[str]]]) -> DataFrame:
+    """A row (edge, EVIDENCE, coverage) for each (child, columns, parent, columns), numbered from 0.
+
+    One job for all of them: the keys of both sides of all edges are counted together, first within partitions, so that distinct
+    keys are shuffled, once.
     """
-    keys = [f"k{i}" for i in range(len(child_cols))]
-    c, p = _keyed(child, child_cols, keys, "nc"), _keyed(parent, parent_cols, keys, "np")
-    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    both = c.join(p.filter(whole), keys, "full_outer")
-    here, there = F.col("nc").isNotNull() & whole, F.col("np").isNotNull()
-    return both.agg(
-        F.coalesce(F.sum("nc"), F.lit(0)).alias("rows_child"),
+    uses = [(df, cols, {"edge": i, "child": side == 0}) for i, e in enumerate(edges) for side, (df, cols) in enumerate(((e[0], e[1]), (e[2], e[3])))]
+    both = _tagged(uses).groupBy("edge", "key").agg(F.count_if("child").alias("nc"), F.count_if(~F.col("child")).alias("np"))
+    whole = F.col("key").isNotNull()
+    here, there = (F.col("nc") > 0) & whole, (F.col("np") > 0) & whole
+    found = both.groupBy("edge").agg(
+        F.sum("nc").alias("rows_child"),
         F.coalesce(F.sum(F.when(~whole, F.col("nc"))), F.lit(0)).alias("null_rows"),
         F.count_if(here).alias("ndv_child"),
         F.count_if(there).alias("ndv_parent"),
@@ -35,8 +44,24 @@ def inclusion(child: DataFrame, child_cols: list[str], parent: DataFrame, parent
         F.count_if(here & ~there).alias("orphan_keys"),
         F.coalesce(F.sum(F.when(here & ~there, F.col("nc"))), F.lit(0)).alias("orphan_rows"),
         F.max(F.when(here, F.col("nc"))).alias("max_child"),
-        F.max("np").alias("max_parent"),
-    ).withColumn("coverage", F.round(F.try_divide(F.col("ndv_child") - F.col("orphan_keys"), F.col("ndv_child")), 6))
+        F.max(F.when(there, F.col("np"))).alias("max_parent"),
+    )
+    return found.withColumn("coverage", F.round(F.try_divide(F.col("ndv_child") - F.col("orphan_keys"), F.col("ndv_child")), 6))
+
+
+def inclusion(child: DataFrame, child_cols: list[str], parent: DataFrame, parent_cols: list[str]) -> DataFrame:
+    """One row of EVIDENCE and coverage for child columns that refer to parent columns; a key with a null part is null."""
+    one = inclusions([(child, child_cols, parent, parent_cols)]).drop("edge")
+    zeros = {"rows_child": 0, "null_rows": 0, "ndv_child": 0, "ndv_parent": 0, "ndv_union": 0, "orphan_keys": 0, "orphan_rows": 0}
+    return one.agg(*[F.coalesce(F.max(c), F.lit(zeros[c])).alias(c) if c in zeros else F.max(c).alias(c) for c in one.columns])  # a row even of nothing
+
+
+def key_counts(uses: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(table_name, column_name, non_null, ndv, max_freq) of key columns of several tables, exactly, in one job."""
+    tagged = [(df, [c], {"table_name": t, "column_name": c}) for t, (df, cols) in uses.items() for c in cols]
+    keys = _tagged(tagged).groupBy("table_name", "column_name", "key").agg(F.count(F.lit(1)).alias("n"))
+    there = F.col("key").isNotNull()
+    return keys.groupBy("table_name", "column_name").agg(F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("non_null"), F.count_if(there).alias("ndv"), F.max(F.when(there, F.col("n"))).alias("max_freq"))
 
 
 def sketch_inclusion(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str, lg_k: int = 14) -> DataFrame:
@@ -68,6 +93,11 @@ def union_keys(a: DataFrame, a_col: str, b: DataFrame, b_col: str) -> DataFrame:
     return left.unionAll(right)
 
 
+def shared_values(a: DataFrame, a_col: str, b: DataFrame, b_col: str) -> DataFrame:
+    """(value): the distinct values that both columns have."""
+    return a.select(F.col(a_col).alias("value")).intersect(b.select(F.col(b_col).alias("value")))
+
+
 @dataclass(frozen=True)
 class ColumnProfile:
     family: str
@@ -97,6 +127,14 @@ def can_contain(child: ColumnProfile | None, parent: ColumnProfile | None, toler
     return True
 
 
+def cannot_reach(child: ColumnProfile, parent: ColumnProfile, share: float = 0.5, error: float = 1.15) -> bool:
+    """Whether less than a share of the child's values can be in the parent, by (approximate) counts and ranges: nothing that inclusion would accept."""
+    if child.ndv * share > parent.ndv * error:
+        return True
+    ends = (child.min_value, child.max_value, parent.min_value, parent.max_value)
+    return child.family == parent.family == "integer" and None not in ends and (int(ends[0]) > int(ends[3]) or int(ends[1]) < int(ends[2]))
+
+
 def can_contain_column(c, p, tolerance: float = 1.05) -> Column:
     """The same over columns; c, p: functions from a name to a column of profiles with min and max as numbers."""
     ok = (c("family") == p("family")) & (p("ndv") >= 2) & (p("ndv") >= 0.9 * p("non_null")) & (c("ndv") >= 2) & (c("ndv") <= tolerance * p("ndv"))

@@ -20,7 +20,8 @@ def as_text(df: DataFrame, c: str) -> Column:
     """Values as text that other engines print alike."""
     t = df.schema[c].dataType
     if isinstance(t, T.DoubleType | T.FloatType):
-        return F.col(c).cast("decimal(38,6)").cast("string")
+        plain = F.abs(F.col(c)) < 1e31  # false of NaN
+        return F.when(plain, F.when(plain, F.col(c)).cast("decimal(38,6)").cast("string")).otherwise(F.col(c).cast("string"))
     if isinstance(t, T.TimestampType | T.TimestampNTZType):
         return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return F.col(c).cast("string")
@@ -33,7 +34,9 @@ def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True,
     counts are one narrow aggregation for each column, which reads that column alone; all of
     them in one aggregation would expand every row by the number of columns.
     """
-    cols = columns or plain_columns(df)
+    cols = plain_columns(df) if columns is None else columns
+    if not cols:
+        return df.sparkSession.createDataFrame([], PROFILE)
     df = df.select(cols)
     if fraction is not None:
         df = df.sample(fraction=fraction, seed=seed)
@@ -96,9 +99,8 @@ def null_probe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def frequency_skew(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, max_freq, min_freq, skew): of the values of each column."""
-    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p")).select("p.*").filter("value is not null")
-    freq = pairs.groupBy("column_name", "value").count()
-    return freq.groupBy("column_name").agg(F.max("count").alias("max_freq"), F.min("count").alias("min_freq")).withColumn("skew", F.round(F.col("max_freq") / F.col("min_freq"), 6))
+    freq = [df.select(F.col(c).alias("value")).filter("value is not null").groupBy("value").count().agg(F.max("count").alias("max_freq"), F.min("count").alias("min_freq")).select(F.lit(c).alias("column_name"), "*") for c in columns]
+    return reduce(DataFrame.unionByName, freq).filter("max_freq is not null").withColumn("skew", F.round(F.col("max_freq") / F.col("min_freq"), 6))
 
 
 def affix_consistency(df: DataFrame, column: str, n: int = 3) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import names as N
 from ..operators.discover import discover
 from ..operators.filters import small_domains, suggest
-from ..sources.catalog import RawTable, sample_values, tables_from_frames
+from ..sources.catalog import RawTable, quick_samples, tables_from_frames
 from . import parse
 from .model import BaseTable, Column, PrimaryKey, SemanticModel, Table, to_yaml
 
@@ -58,12 +58,10 @@ def build_model(
     model = SemanticModel(name=name, description="__")
 
     def look(raw: RawTable) -> dict[str, list[str]]:
-        got: dict[str, list[str]] = {}
-        for r in sample_values(frames[raw.name], max(1, n_sample_values)).orderBy("column_name", "position").collect():
-            got.setdefault(r["column_name"], []).append(r["value"])
+        got = quick_samples(frames[raw.name], max(1, n_sample_values))
         for c in raw.columns:
             c.values = got.get(c.name, [])
-        return small_domains(frames[raw.name])
+        return small_domains(frames[raw.name], samples=got if n_sample_values > 5 else None)
 
     with ThreadPoolExecutor(max_workers) as pool:  # the jobs of several tables at a time; the order stays
         for i, (raw, domains) in enumerate(zip(raws, pool.map(look, raws), strict=True)):

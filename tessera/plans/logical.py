@@ -119,11 +119,19 @@ def qualify(sql: str, mapping: dict[str, str]) -> str:
     local = {n.lower() for n, _ in _parts_or_none(sql)}
     known = {k.lower(): v for k, v in mapping.items()}
     out, at = [], 0
-    for m in re.finditer(r"(?i)\b(?:from|join)\s+(`[^`]+`|\w+)(?![\w.(`])", mask):
-        name = m[1].strip("`").lower()
-        if name in known and name not in local:
-            out += [sql[at : m.start(1)], known[name]]
-            at = m.end(1)
+    relation = re.compile(r"\s*(`[^`]+`|\w+)(?![\w.(`])")
+    after = re.compile(r"(?i)(?:\s+(?:as\s+)?(?!(?:on|using|where|join|inner|left|right|full|cross|natural|group|order|having|limit|union|lateral)\b)\w+)?\s*,")
+    for start in re.finditer(r"(?i)\b(?:from|join)\s", mask):
+        begin = start.end()
+        while m := relation.match(mask, begin):
+            name = m[1].strip("`").lower()
+            if name in known and name not in local:
+                out += [sql[at : m.start(1)], known[name]]
+                at = m.end(1)
+            comma = after.match(mask, m.end())
+            if not comma:
+                break
+            begin = comma.end()
     return "".join(out) + sql[at:]
 
 

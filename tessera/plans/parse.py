@@ -83,12 +83,29 @@ def _aggregates(spark: SparkSession) -> frozenset[str]:
 
 
 def is_aggregate(spark: SparkSession, expr: str) -> bool:
-    """Whether an aggregate function occurs and no window does."""
+    """Whether an aggregate function, built in or registered by the user, occurs and no window does."""
     nodes = list(_walk(parse_expression(spark, expr)))
     if any("Window" in _kind(n) for n in nodes):
         return False
+    calls = [n for n in nodes if _kind(n) == "UnresolvedFunction"]
     known = _aggregates(spark)
-    return any(_kind(n) == "UnresolvedFunction" and n.nameParts().last().lower() in known for n in nodes)
+    return any(n.nameParts().last().lower() in known or _is_user_aggregate(spark, n.nameParts().mkString("."), n.arguments().size()) for n in calls)
+
+
+def _is_user_aggregate(spark: SparkSession, name: str, arguments: int) -> bool:
+    """What the analyser makes of a call of a function that isn't built in: an aggregation or a projection."""
+    if name.lower() in _system_functions(spark):
+        return False
+    try:
+        plan = spark.sql(f"SELECT {name}({', '.join(['CAST(NULL AS DOUBLE)'] * arguments)}) FROM VALUES (1) AS t(x)")._jdf.queryExecution().analyzed()
+    except Exception:  # noqa: BLE001  (no such function, or not of such arguments)
+        return False
+    return any(_kind(n) == "Aggregate" for n in _walk(plan))
+
+
+@lru_cache(maxsize=1)
+def _system_functions(spark: SparkSession) -> frozenset[str]:
+    return frozenset(r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect())
 
 
 def cte_names(spark: SparkSession, sql: str) -> list[str]:

@@ -3,6 +3,10 @@
 Metrics of one table are aggregated at the grain of that table: every other table must be reached along
 many-to-one or one-to-one relationships, so no row is counted twice.  Metrics of several tables
 are aggregated each for itself and meet on the dimensions in a full outer join.
+
+Two kinds of relationships lead further.  One over a bridge (``via``) repeats rows by nature, so it is used only if ``path`` names it: each row of the one
+table then meets each row of the other one that the bridge connects it with, once.  One of a table with itself is
+asked for in the dimension's name, ``table@relationship.field``: the field of the row that the table's row refers to.
 """
 
 from __future__ import annotations
@@ -46,11 +50,15 @@ class Step:
     target: str
 
 
-def _steps(model: SemanticModel, table: str) -> list[Step]:
-    """Relationships that lead from the table without repeating its rows."""
+def _steps(model: SemanticModel, table: str, allowed: list[str]) -> list[Step]:
+    """Relationships that lead from the table without repeating its rows, and those over bridges that are allowed."""
     out = []
     for r in model.relationships:
-        if r.via or r.left_table == r.right_table:
+        if r.left_table == r.right_table:
+            continue
+        if r.via:
+            if r.name in allowed and table in (r.left_table, r.right_table):
+                out.append(Step(r, table, r.right_table if r.left_table == table else r.left_table))
             continue
         if r.left_table == table and r.relationship_type in ("many_to_one", "one_to_one"):
             out.append(Step(r, table, r.right_table))
@@ -59,14 +67,14 @@ def _steps(model: SemanticModel, table: str) -> list[Step]:
     return out
 
 
-def paths(model: SemanticModel, source: str, target: str) -> list[list[Step]]:
+def paths(model: SemanticModel, source: str, target: str, allowed: list[str] | None = None) -> list[list[Step]]:
     """All ways that visit no table twice, the shortest first."""
     if source == target:
         return [[]]
     found, queue = [], deque([(source, [])])
     while queue:
         at, steps = queue.popleft()
-        for s in _steps(model, at):
+        for s in _steps(model, at, allowed or []):
             if s.target == source or any(s.target in (x.source, x.target) for x in steps):
                 continue
             way = [*steps, s]
@@ -78,7 +86,7 @@ def paths(model: SemanticModel, source: str, target: str) -> list[list[Step]]:
 
 
 def choose_path(model: SemanticModel, source: str, target: str, preferred: list[str]) -> list[Step]:
-    found = paths(model, source, target)
+    found = paths(model, source, target, preferred)
     if preferred:
         liked = [w for w in found if all(any(s.relationship.name == p for s in w) for p in preferred if any(s.relationship.name == p for v in found for s in v))]
         found = liked or found
@@ -90,9 +98,14 @@ def choose_path(model: SemanticModel, source: str, target: str, preferred: list[
     return found[0]
 
 
+def _home(name: str) -> str:
+    """``table``, or ``table@relationship``, of a field's name."""
+    return name.partition(".")[0]
+
+
 def _split(name: str) -> tuple[str, str]:
     table, _, column = name.partition(".")
-    return table, column
+    return table.partition("@")[0], column
 
 
 def metric_of(model: SemanticModel, name: str) -> tuple[str, Metric]:
@@ -171,6 +184,10 @@ class Planner:
                 if s.target in joined:
                     continue
                 r = s.relationship
+                if r.via:
+                    rows = self._over_bridge(rows, s, filters.get(s.target, []))
+                    joined.add(s.target)
+                    continue
                 forward = r.left_table == s.source
                 pairs = [(k.left_column, k.right_column) if forward else (k.right_column, k.left_column) for k in r.relationship_columns]
                 cond = [F.col(f"{s.source}__{self._name(s.source, a)}") == F.col(f"{s.target}__{self._name(s.target, b)}") for a, b in pairs]
@@ -178,7 +195,9 @@ class Planner:
                 how = "inner" if s.target in filters else HOW[r.join_type]
                 rows = rows.join(self._prefixed(s.target, filters.get(s.target, [])), cond, how)
                 joined.add(s.target)
-        dims = [F.col(f"{self.model.table(t).name}__{self._name(t, c)}").alias(c) for t, c in map(_split, q.dimensions)]
+        for t in dict.fromkeys(t for t in map(_home, q.dimensions) if "@" in t):
+            rows = self._with_parent(rows, t)
+        dims = [F.col(f"{self._prefix(t)}__{self._name(t.split('@')[0], c)}").alias(c) for t, c in ((_home(d), _split(d)[1]) for d in q.dimensions)]
         own = [f"{root}__{c}" for c in self._view(root).columns]
         flat = rows.select(*[d for d in dims], *[F.col(c).alias("m__" + c.split("__", 1)[1]) for c in own])
         back = flat.select(*[c for _, c in map(_split, q.dimensions)], *[F.col("m__" + c.split("__", 1)[1]) for c in own])
@@ -186,6 +205,37 @@ class Planner:
         keys = [c for _, c in map(_split, q.dimensions)]
         return back.groupBy(*keys).agg(*aggs) if keys else back.agg(*aggs)
 
+    def _prefix(self, table: str) -> str:
+        name, at, relationship = table.partition("@")
+        return self.model.table(name).name + at + relationship
+
+    def _over_bridge(self, rows: DataFrame, s: Step, filters: list[str]) -> DataFrame:
+        """Rows with those of the target that the bridge connects them with, each pair once."""
+        via, r = self.model.table(s.relationship.via).name, s.relationship
+        ends = []
+        for end in (s.source, s.target):
+            found = [x for x in self.model.relationships if x.left_table == via and x.right_table == end and not x.via and len(x.relationship_columns) == 1]
+            columns = {k.left_column for k in r.relationship_columns} | {k.right_column for k in r.relationship_columns}
+            liked = [x for x in found if x.relationship_columns[0].left_column in columns] or found
+            if len(liked) != 1:
+                raise PathError(f"{len(liked)} relationships lead from {via} to {end}")
+            ends.append(liked[0].relationship_columns[0])
+        pairs = self._view(via).select(*[F.col(self._name(via, k.left_column)).alias(f"{via}__{i}") for i, k in enumerate(ends)]).dropna().distinct()
+        rows = rows.join(pairs, F.col(f"{s.source}__{self._name(s.source, ends[0].right_column)}") == F.col(f"{via}__0"))
+        return rows.join(self._prefixed(s.target, filters), F.col(f"{via}__1") == F.col(f"{s.target}__{self._name(s.target, ends[1].right_column)}")).drop(f"{via}__0", f"{via}__1")
+
+    def _with_parent(self, rows: DataFrame, dimension: str) -> DataFrame:
+        """Rows of a table with the row that each refers to, in columns of their own."""
+        name, _, wanted = dimension.partition("@")
+        name = self.model.table(name).name
+        r = next((x for x in self.model.relationships if x.name.lower() == wanted.lower() and x.left_table == x.right_table == name), None)
+        if r is None:
+            raise PathError(f"{name} has no relationship {wanted} with itself")
+        v = self._view(name)
+        parent = v.select([F.col(c).alias(f"{name}@{wanted}__{c}") for c in v.columns])
+        same = [F.col(f"{name}__{self._name(name, k.left_column)}") == F.col(f"{name}@{wanted}__{self._name(name, k.right_column)}") for k in r.relationship_columns]
+        return rows.join(parent, same, "left")
+
     def _name(self, table: str, column: str) -> str:
         t = self.model.table(table)
         if c := t.field(column):

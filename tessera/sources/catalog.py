@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import yaml
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,10 @@ from pyspark.sql import types as T
 from ..functions import names as N
 
 
+#: Column -> its values.
+Domains = dict[str, list[str]]
+
+
 class DefinitionError(ValueError):
     pass
 
@@ -58,6 +64,25 @@ def tables(spark: SparkSession, schema: str | None = None) -> list[str]:
     return list(dict.fromkeys(t.name for t in found if t.tableType != "VIEW" or t.isTemporary))
 
 
+def qualified_tables(spark: SparkSession, schema: str | None = None) -> list[str]:
+    """Full names (catalog.schema.table) of the tables and permanent views of a schema; temporary views have bare names."""
+    found = spark.catalog.listTables(schema)
+    return sorted({t.name if t.isTemporary else N.join_quoted(t.catalog, *(t.namespace or []), t.name).replace("`", "") for t in found})
+
+
+def walk(spark: SparkSession, schemas_of: list[str] | None = None) -> DataFrame:
+    """(TABLE_SCHEMA, TABLE_NAME, COLUMN_NAME, DATA_TYPE, IS_PRIMARY_KEY, COMMENT) of all tables of the schemas (all of the session's catalog by default): metadata only."""
+    rows = []
+    for schema in schemas_of or schemas(spark):
+        for t in spark.catalog.listTables(schema):
+            if t.isTemporary:
+                continue
+            name = N.join_quoted(t.catalog, *(t.namespace or []), t.name)
+            keys = primary_keys(spark, name) if t.tableType != "VIEW" else []
+            rows += [(schema, t.name, f.name, type_name(f.dataType), f.name in keys, (f.metadata or {}).get("comment", "")) for f in spark.table(name).schema.fields]
+    return spark.createDataFrame(rows, "TABLE_SCHEMA string, TABLE_NAME string, COLUMN_NAME string, DATA_TYPE string, IS_PRIMARY_KEY boolean, COMMENT string")
+
+
 def type_name(t: T.DataType) -> str:
     """The SQL type's name; decimals keep their precision and scale."""
     names = {T.LongType: "BIGINT", T.IntegerType: "INT", T.ShortType: "SMALLINT", T.ByteType: "TINYINT", T.StringType: "STRING", T.DoubleType: "DOUBLE", T.FloatType: "FLOAT"}
@@ -87,7 +112,7 @@ def describe(spark: SparkSession, table: str) -> dict[str, str]:
 
 def primary_keys(spark: SparkSession, table: str) -> list[str]:
     """From the table property ``primary_key`` (comma-separated): Spark's own catalog has no constraints."""
-    for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect():
+    for r in spark.sql(f"SHOW TBLPROPERTIES {N.join_quoted(*N.split_identifier(table))}").collect():
         if r["key"] == "primary_key":
             return [p.strip() for p in r["value"].split(",")]
     return []
@@ -159,13 +184,23 @@ def tables_from_frames(frames: dict[str, DataFrame], primary_keys: dict[str, lis
     ]
 
 
+def quick_samples(df: DataFrame, n: int = 10, columns: list[str] | None = None) -> Domains:
+    """Up to n distinct values of each column, in order of appearance, from the first rows alone: max(10 n, 100) of them are read, however large the table."""
+    cols = columns or [f.name for f in df.schema.fields if not isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType | T.BinaryType)]
+    rows = df.select(*[F.col(c).cast("string") for c in cols]).limit(max(10 * n, 100)).collect()
+    return {c: list(dict.fromkeys(r[i] for r in rows if r[i] is not None))[:n] for i, c in enumerate(cols)}
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """(column_name, value): all distinct values of a column that aren't null."""
+    return df.select(F.lit(column).alias("column_name"), F.col(column).alias("value")).filter("value is not null").distinct()
+
+
 def sample_values(df: DataFrame, n: int = 10, columns: list[str] | None = None) -> DataFrame:
     """(column_name, position, value): the first n distinct values of each column in order of their text.
 
     One scan for all columns; each partition sends on n values a column, whatever its size.
     """
-    from collections.abc import Iterator
-
     import pyarrow as pa
     import pyarrow.compute as pc
     from pyspark.sql import Window
@@ -193,6 +228,26 @@ def parquet_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[s
     return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
 
 
+def try_query(spark: SparkSession, sql: str, **params) -> tuple[DataFrame | None, str]:
+    """(result, "") or (None, the first line of what is wrong with it); the query is analysed, not run."""
+    try:
+        return query(spark, sql, **params), ""
+    except PySparkException as e:
+        return None, str(e).strip().splitlines()[0]
+
+
+def cursor(df: DataFrame, size: int = 1000) -> Iterator[list]:
+    """The rows in lists of ``size``, a partition at a time on the driver."""
+    held = []
+    for r in df.toLocalIterator():
+        held.append(r)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def query(spark: SparkSession, sql: str, **params) -> DataFrame:
     """SQL with typed named parameters (``:name``)."""
     return spark.sql(sql, args=params) if params else spark.sql(sql)

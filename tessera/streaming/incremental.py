@@ -1,7 +1,8 @@
 """An incremental profile of an event stream: mergeable statistics by time window.
 
 An extension beyond the batch operators: the same column statistics, kept up to date by Structured
-Streaming with a watermark, so that state is bounded by the windows still open.
+Streaming with a watermark.  A window is appended to the table when the watermark has passed its end, and leaves the state then, which
+is so bounded by the windows still open.
 """
 
 from __future__ import annotations
@@ -20,6 +21,6 @@ def windowed_profile(events: DataFrame, ts: str, key: str, value: str, window: s
     )
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str):
-    """Start the query into an in-memory table and stop when all that is there now is processed."""
-    return stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_folder(stream: DataFrame, folder: str, checkpoint: str):
+    """Start the query, which appends closed windows to the Parquet table in ``folder`` and stops when all that is there now is processed."""
+    return stream.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import confidence as C
 from tessera.operators import discover as D
 from tessera.operators import inclusion as I
 from tessera.sources import catalog
@@ -160,3 +161,77 @@ def test_reports_and_scores(spark):
     assert "FROM `ORDERS` JOIN `CUSTOMER` ON `ORDERS`.`o_custkey` = `CUSTOMER`.`c_custkey`" in {e["suggested_join_sql"] for e in told["relationships"]} and told["summary"]["relationships"] == len(found.edges)
     assert found.missed_dataframe(spark).count() == len(found.missed)
     assert D.sample_confidence([str(i % 5) for i in range(30)], [str(i) for i in range(30)]) == 1.0 and D.sample_confidence(["1"], ["1"]) == 0.0
+
+
+def test_bridge_joins_are_sql(spark):
+    found = D.discover_from_definitions(definitions(SCHEMAS["tpch"][0]))
+    joins = [r["suggested_join_sql"] for r in found.detailed()["relationships"] if r["via"]]
+    assert all("<" not in j for j in joins)
+    hub = D.discover_from_definitions([table("student", "student_id*"), table("course", "course_id*"), table("enrolment", "student_id", "course_id")])
+    sql = next(r["suggested_join_sql"] for r in hub.detailed()["relationships"] if r["via"])
+    assert sql == "FROM `ENROLMENT` JOIN `COURSE` ON `ENROLMENT`.`course_id` = `COURSE`.`course_id` JOIN `STUDENT` ON `ENROLMENT`.`student_id` = `STUDENT`.`student_id`"
+
+
+def test_confidence_is_the_sum_of_its_factors():
+    t = {x.name: x for x in catalog.tables_from_definitions([table("fact_sales", "sale_id*", "customer_id", "id", "other"), table("dim_customer", "customer_id*", "id")])}
+    one = lambda pairs, **m: C.confidence(t["FACT_SALES"], t["DIM_CUSTOMER"], pairs, roles=("fact", "dimension"), keys=(("sale_id",), ("customer_id",)), **m)
+    good = {f: p for f, p, _ in one([("customer_id", "customer_id")], unique=(0.2, 1.0), values=50).factors}
+    assert good == {"key": 0.3, "name": 0.35, "fk_pattern": 0.1, "aligned": 0.05, "uniqueness": 0.2, "type": 0.1, "identical": 0.1, "role": 0.15, "limit": pytest.approx(-0.35)}
+    bad = one([("sale_id", "customer_id")])
+    assert ("misaligned" in {f for f, _, _ in bad.factors}) and bad.value <= 0.15 + 0.1 + 0.15
+    assert {f: p for f, p, _ in one([("id", "id")]).factors}["generic"] == -0.15
+    twice = one([("customer_id", "customer_id"), ("customer_id", "id")])
+    assert "inconsistent" in {f for f, _, _ in twice.factors} and not C.consistent([("a", "x"), ("a", "y")]) and C.consistent([("a", "x"), ("b", "y")])
+    d = C.domain(t["FACT_SALES"], t["DIM_CUSTOMER"], [("customer_id", "customer_id")], ("fact", "dimension"), (("sale_id",), ("customer_id",)))
+    assert {f: p for f, p, _ in d.factors} == {"business_pair": 0.25, "usual_fk": 0.15, "convention": 0.2, "mentions": 0.1, "schema_pattern": 0.2}
+
+
+def test_pair_scores_and_thresholds():
+    assert C.pair_score("o_custkey", "c_custkey") == pytest.approx(0.95 + 0.5 + 0.1) and C.pair_score("o_custkey", "c_custkey", 1.0) == pytest.approx(2.15)
+    assert C.least_score("o_custkey", "c_custkey") == 0.3 and C.least_score("sender_account_id", "account_id") == 0.3 and C.least_score("a_x", "b_y") == 0.6 and C.least_score("a_x", "b_y", 0.7) == 0.3
+    assert C.related_entities("account", "sender_account") and not C.related_entities("order", "product")
+
+
+def test_composite_keys():
+    use = C.key_use(["ORDER_ID", "LINE_ID"], ("order_id", "line_id"))
+    assert use.coverage == 1.0 and use.whole_composite and not use.partial and use.identifiers == 2
+    assert C.key_use(["ORDER_ID"], ("order_id", "line_id")).partial
+    pairs = [("a", "x"), ("b", "y"), ("c", "z")]
+    assert C.composite_passes(pairs, (), ("x", "y", "z")) and not C.composite_passes(pairs, (), ("x", "y", "z", "w")) and C.composite_passes(pairs[:2], (), ("x", "y", "z")) and not C.composite_passes(pairs[:2], (), ())
+    assert C.composite_cardinality(pairs, (), ("x", "y", "z")) == "many_to_one" and C.composite_cardinality(pairs, ("a", "b", "c"), ()) == "one_to_many" and C.composite_cardinality(pairs, (), ()) is None
+    assert C.composite_cardinality(pairs, (), (), (0.3, 0.95)) == "many_to_one"
+    assert C.reversed_better("t", "u", [("id", "x")], ("id",), ()) and C.reversed_better("dim_x", "fact_y", [("a", "b")], (), ()) and not C.reversed_better("fact_y", "dim_x", [("a", "b")], (), ())
+
+
+def test_composite_keys_are_found_without_declarations(spark):
+    n = lambda e: e.selectExpr("int(id % 40) AS order_id", "int(id div 40) AS line_number", "id * 1.5 AS amount")
+    frames = {"orders": spark.range(40).selectExpr("int(id) AS order_id", "id * 2 AS total"), "lines": n(spark.range(120)), "shipments": spark.range(60).selectExpr("int(id) AS shipment_id", "int(id % 40) AS order_id", "int(id div 40) AS line_number")}
+    found = D.discover_from_frames(frames)
+    edge = next(e for e in found.edges if e.left == "shipments" and e.right == "lines" and len(e.keys) == 2)
+    assert edge.keys == [("line_number", "line_number"), ("order_id", "order_id")] and edge.cardinality in ("many_to_one", "one_to_one") and found.primary_keys["lines"].columns == ("line_number", "order_id")
+    twice = dict(frames, lines=frames["lines"].union(frames["lines"]))
+    assert not [e for e in D.discover_from_frames(twice).edges if len(e.keys) == 2]
+
+
+def test_edges_settle():
+    e = lambda a, b, s=1.0: D.Edge(a, b, [("x_id", "x_id")], s)
+    key = lambda t: D.Key(t, ("x_id",), "name")
+    assert [(x.left, x.right) for x in D._settle([e("a", "b"), e("b", "a", 0.5), e("a", "b")], {})] == [("a", "b")]
+    assert [(x.left, x.right) for x in D._settle([e("a", "b")], {"a": key("a")})] == [("b", "a")]
+
+
+def test_self_reference_of_whole_tables(spark):
+    staff = spark.range(50).selectExpr("int(id) AS employee_id", "CASE WHEN id > 0 THEN int(id div 4) END AS manager_id")
+    found = D.discover_from_frames({"employee": staff})
+    assert [(e.is_self, e.join_type) for e in found.edges] == [(True, "left_outer")]
+    apart = staff.withColumn("manager_id", F.col("manager_id") + 1000)
+    assert not D.discover_from_frames({"employee": apart}).edges
+
+
+def test_pruning_changes_nothing_and_time_is_kept(spark, small, monkeypatch):
+    f = catalog.parquet_tables(spark, small, "region nation customer supplier part orders lineitem".split())
+    want = {(e.left, e.right) for e in D.discover_from_frames(f).edges}
+    monkeypatch.setattr(D, "PRUNE_FROM", 0)
+    assert {(e.left, e.right) for e in D.discover_from_frames(f).edges} == want
+    late = D.discover_from_frames(f, timeout_seconds=0.05)
+    assert late.timed_out

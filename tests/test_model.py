@@ -2,16 +2,18 @@ import json
 
 import pytest
 import yaml
+from pyspark.sql import functions as F
 
 from tessera.operators import filters as SF
 from tessera.operators import profile as P
 from tessera.operators.fingerprint import fingerprint
 from tessera.plans import build, enrich, logical, parse, partner, validate
 from tessera.plans import model as M
+from tessera.plans.model import BaseTable, Column, Metric, RelationKey, Relationship, SemanticModel, Table
 from tessera.plans.query import PathError, Planner, SemanticQuery, bridge_join, choose_path, paths, run_verified_queries
 from tessera.queries import DBT, frames, tpch_model
 from tessera.sources import catalog, sinks
-from tessera.streaming.incremental import run_to_table, windowed_profile
+from tessera.streaming.incremental import run_to_folder, windowed_profile
 from tests.fixtures_schemas import definitions
 
 GOOD = """
@@ -220,6 +222,76 @@ def test_fingerprint_ignores_order(spark):
     assert fingerprint(df).collect() != fingerprint(df.union(df.limit(1))).collect() and fingerprint(df.limit(0)).first().n_rows == 0
 
 
+def test_fingerprint_tells_nulls_apart_and_takes_maps(spark):
+    one = lambda rows, kind: tuple(fingerprint(spark.createDataFrame(rows, kind)).first())
+    assert one([(None, "a")], "a string, b string") != one([("a", None)], "a string, b string")
+    assert one([([None, "a"],)], "a array<string>") != one([(["a", None],)], "a array<string>")
+    assert one([({"x": 1, "y": None},)], "m map<string, int>") == one([({"y": None, "x": 1},)], "m map<string, int>") != one([({"x": 1},)], "m map<string, int>")
+
+
+def test_profile_of_extreme_doubles_and_of_nothing(spark):
+    df = spark.createDataFrame([(1e40, 1.0, float("-inf")), (-1e40, float("nan"), 2.5)], "a double, b double, c double")
+    p = {r.column_name: (r.min_value, r.max_value) for r in P.profile(df).collect()}
+    assert p == {"a": ("-1.0E40", "1.0E40"), "b": ("1.000000", "NaN"), "c": ("-Infinity", "2.500000")}
+    assert P.profile(spark.createDataFrame([([1],)], "a array<int>")).count() == 0
+
+
+def test_user_aggregates(spark):
+    import pandas as pd
+
+    def mean(v: pd.Series) -> float:
+        return float(v.mean())
+
+    spark.udf.register("my_avg", F.pandas_udf(mean, "double"))
+    spark.udf.register("plus_one", lambda x: x + 1, "double")
+    assert parse.is_aggregate(spark, "my_avg(x)") and not parse.is_aggregate(spark, "plus_one(x)") and not parse.is_aggregate(spark, "no_such_function(x)")
+    t = Table("t", BaseTable("", "", "t"), columns=[Column("k", "k"), Column("m", "my_avg(x)")])
+    assert [c.name for c in logical.split_aggregates(spark, t)[1]] == ["m"]
+
+
+def test_qualify_lists_of_tables():
+    known = {"a": "d.s.a", "b": "d.s.b", "c": "d.s.c"}
+    assert logical.qualify("SELECT * FROM a, b x, c AS y WHERE a.i = x.i", known) == "SELECT * FROM d.s.a, d.s.b x, d.s.c AS y WHERE a.i = x.i"
+    assert logical.qualify("SELECT a, b FROM a JOIN b ON a.i = b.i", known) == "SELECT a, b FROM d.s.a JOIN d.s.b ON a.i = b.i"
+
+
+def test_planner_over_a_bridge_and_a_self_reference(spark):
+    f = {
+        "student": spark.createDataFrame([(1, "ann"), (2, "bob"), (3, "cid")], "student_id int, sname string"),
+        "course": spark.createDataFrame([(10, "art"), (20, "bio")], "course_id int, title string"),
+        "enrolment": spark.createDataFrame([(1, 10), (1, 10), (1, 20), (2, 20), (None, 10)], "student_id int, course_id int"),
+        "employee": spark.createDataFrame([(1, None, "ann"), (2, 1, "bob"), (3, 1, "cid")], "employee_id int, manager_id int, ename string"),
+    }
+    dims = lambda t: Table(t, BaseTable("", "", t), dimensions=[Column(c, c) for c in f[t].columns], metrics=[Metric("n", "count(*)")])
+    rel = lambda n, a, ac, b, bc, **m: Relationship(n, a, b, [RelationKey(ac, bc)], **m)
+    model = SemanticModel("m", tables=[dims(t) for t in f], relationships=[
+        rel("e_s", "enrolment", "student_id", "student", "student_id"), rel("e_c", "enrolment", "course_id", "course", "course_id"),
+        rel("s_c", "course", "course_id", "student", "student_id", relationship_type="many_to_many", via="enrolment"), rel("boss", "employee", "manager_id", "employee", "employee_id", join_type="left_outer"),
+    ])
+    plan = Planner(spark, model, f)
+    with pytest.raises(PathError):
+        plan.run(SemanticQuery(["student.n"], ["course.title"]))
+    got = plan.run(SemanticQuery(["student.n"], ["course.title"], path=["s_c"]))
+    assert sorted(map(tuple, got.collect())) == [("art", 1), ("bio", 2)]
+    back = plan.run(SemanticQuery(["course.n"], ["student.sname"], path=["s_c"]))
+    assert sorted(map(tuple, back.collect())) == [("ann", 2), ("bob", 1)]
+    bosses = plan.run(SemanticQuery(["employee.n"], ["employee@boss.ename"]))
+    assert sorted(map(tuple, bosses.collect()), key=str) == [("ann", 2), (None, 1)]
+
+
+def test_live_catalog_walk(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS walked")
+    sinks.create_table(spark, "walked.people", {"person_id": "int", "name": "string"})
+    spark.sql("ALTER TABLE walked.people SET TBLPROPERTIES ('primary_key' = 'person_id')")
+    rows = catalog.walk(spark, ["walked"]).orderBy("COLUMN_NAME").collect()
+    assert [tuple(r)[:5] for r in rows] == [("walked", "people", "name", "STRING", False), ("walked", "people", "person_id", "INT", True)]
+    assert catalog.qualified_tables(spark, "walked")[-1:] == ["spark_catalog.walked.people"] or "spark_catalog.walked.people" in catalog.qualified_tables(spark, "walked")
+    assert catalog.try_query(spark, "SELECT nothing FROM nowhere")[0] is None and catalog.try_query(spark, "SELECT 1 AS x")[0].first().x == 1
+    assert [len(b) for b in catalog.cursor(spark.range(25), 10)] == [10, 10, 5]
+    assert catalog.quick_samples(spark.range(1000).selectExpr("id % 3 AS a", "string(id) AS b"), 5) == {"a": ["0", "1", "2"], "b": ["0", "1", "2", "3", "4"]}
+    spark.sql("DROP DATABASE walked CASCADE")
+
+
 def test_filters(spark):
     raw = catalog.tables_from_definitions(definitions("orders(status STRING=OPEN/CLOSED/OPEN, order_date TIMESTAMP, created_at STRING=2024-01-05T10:00:00, ship_mode INT=1/2, amount INT=1/2)"))[0]
     assert {f.name: f.expr for f in SF.suggest(raw)} == {"status_values": "status IN ('CLOSED', 'OPEN')", "order_date_last_30_days": "order_date >= date_sub(current_date(), 30)", "created_at_last_30_days": "created_at >= date_sub(current_date(), 30)", "ship_mode_values": "ship_mode IN (1, 2)"}
@@ -249,7 +321,11 @@ def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "ts string, kind string, value double").selectExpr("cast(ts as timestamp) as ts", "kind", "value")
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = run_to_table(windowed_profile(stream, "ts", "kind", "value"), "profile_stream", str(tmp_path / "state"))
+    q = run_to_folder(windowed_profile(stream, "ts", "kind", "value"), str(tmp_path / "out"), str(tmp_path / "state"))
+    q.awaitTermination(120)
+    late = spark.createDataFrame([("2024-02-01 00:00:00", "a", 1.0)], "ts string, kind string, value double").selectExpr("cast(ts as timestamp) as ts", "kind", "value")
+    late.write.mode("append").parquet(str(tmp_path / "in"))  # moves the watermark past all windows before
+    q = run_to_folder(windowed_profile(stream, "ts", "kind", "value"), str(tmp_path / "out"), str(tmp_path / "state"))
     q.awaitTermination(120)
-    got, want = (sorted(map(tuple, x.collect())) for x in (spark.table("profile_stream"), windowed_profile(df, "ts", "kind", "value")))
-    assert got == want
+    got, want = (sorted(map(tuple, x.collect())) for x in (spark.read.parquet(str(tmp_path / "out")), windowed_profile(df, "ts", "kind", "value")))
+    assert got == want and q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1  # only the open window is still held
