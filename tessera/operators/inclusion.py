@@ -7,33 +7,49 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EVIDENCE = ["rows_child", "null_rows", "ndv_child", "ndv_parent", "ndv_union", "orphan_keys", "orphan_rows", "max_child", "max_parent"]
 
 
-def _key(cols: list[str]) -> Column:
-    """A key as text; null if a part is; parts of several have their lengths in front, so that they can't run together."""
+def _whole_number(df: DataFrame, cols: list[str]) -> bool:
+    return len(cols) == 1 and isinstance(df.schema[cols[0]].dataType, T.ByteType | T.ShortType | T.IntegerType | T.LongType)
+
+
+def _key(cols: list[str], number: bool) -> list[Column]:
+    """A key as a number or as text, the other one null; both null if a part is.  Parts of several have their lengths in front, so that they can't run together."""
+    if number:
+        return [F.col(cols[0]).cast("long").alias("number"), F.lit(None).cast("string").alias("text")]
     parts = [F.col(c).cast("string") for c in cols]
-    return parts[0] if len(parts) == 1 else F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
+    text = parts[0] if len(parts) == 1 else F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
+    return [F.lit(None).cast("long").alias("number"), text.alias("text")]
 
 
-def _tagged(uses: list[tuple[DataFrame, list[str], dict]]) -> DataFrame:
-    """A row (tags, key) for each use of each row; every DataFrame is read once, and only its key columns."""
+def _tagged(uses: list[tuple[DataFrame, list[str], bool, dict]]) -> DataFrame:
+    """A row (tags, number, text) for each use (DataFrame, columns, whether they are whole numbers, tags) of each row; every DataFrame is read once, and only its key columns."""
     frames: dict[int, tuple[DataFrame, list[Column]]] = {}
-    for df, cols, tags in uses:
-        frames.setdefault(id(df), (df, []))[1].append(F.struct(*[F.lit(v).alias(k) for k, v in tags.items()], _key(cols).alias("key")))
+    for df, cols, number, tags in uses:
+        frames.setdefault(id(df), (df, []))[1].append(F.struct(*[F.lit(v).alias(k) for k, v in tags.items()], *_key(cols, number)))
     return reduce(DataFrame.unionByName, [df.select(F.explode(F.array(*structs)).alias("u")).select("u.*") for df, structs in frames.values()])
 
 
+KEY = ("number", "text")
+
+
+def _is_key() -> Column:
+    return F.col("number").isNotNull() | F.col("text").isNotNull()
+
+
 def inclusions(edges: list[tuple[DataFrame, list[str], DataFrame, list[str]]]) -> DataFrame:
     """A row (edge, EVIDENCE, coverage) for each (child, columns, parent, columns), numbered from 0.
 
     One job for all of them: the keys of both sides of all edges are counted together, first within partitions, so that distinct
     keys are shuffled, once.
     """
-    uses = [(df, cols, {"edge": i, "child": side == 0}) for i, e in enumerate(edges) for side, (df, cols) in enumerate(((e[0], e[1]), (e[2], e[3])))]
-    both = _tagged(uses).groupBy("edge", "key").agg(F.count_if("child").alias("nc"), F.count_if(~F.col("child")).alias("np"))
-    whole = F.col("key").isNotNull()
+    numbers = [_whole_number(e[0], e[1]) and _whole_number(e[2], e[3]) for e in edges]
+    uses = [(df, cols, numbers[i], {"edge": i, "child": side == 0}) for i, e in enumerate(edges) for side, (df, cols) in enumerate(((e[0], e[1]), (e[2], e[3])))]
+    both = _tagged(uses).groupBy("edge", *KEY).agg(F.count_if("child").alias("nc"), F.count_if(~F.col("child")).alias("np"))
+    whole = _is_key()
     here, there = (F.col("nc") > 0) & whole, (F.col("np") > 0) & whole
     found = both.groupBy("edge").agg(
         F.sum("nc").alias("rows_child"),
@@ -58,9 +74,9 @@ def inclusion(child: DataFrame, child_cols: list[str], parent: DataFrame, parent
 
 def key_counts(uses: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     """(table_name, column_name, non_null, ndv, max_freq) of key columns of several tables, exactly, in one job."""
-    tagged = [(df, [c], {"table_name": t, "column_name": c}) for t, (df, cols) in uses.items() for c in cols]
-    keys = _tagged(tagged).groupBy("table_name", "column_name", "key").agg(F.count(F.lit(1)).alias("n"))
-    there = F.col("key").isNotNull()
+    tagged = [(df, [c], _whole_number(df, [c]), {"table_name": t, "column_name": c}) for t, (df, cols) in uses.items() for c in cols]
+    keys = _tagged(tagged).groupBy("table_name", "column_name", *KEY).agg(F.count(F.lit(1)).alias("n"))
+    there = _is_key()
     return keys.groupBy("table_name", "column_name").agg(F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("non_null"), F.count_if(there).alias("ndv"), F.max(F.when(there, F.col("n"))).alias("max_freq"))
 
 

@@ -562,3 +562,6 @@ def generated_model(spark, sf_dir):
     model = build_model(spark, frames(spark, sf_dir), "trade")
     rows = [(t.name, c.name, section, c.expr, c.data_type) for t in model.tables for section in ("dimensions", "time_dimensions", "facts") for c in getattr(t, section)]
     return spark.createDataFrame(rows, "table_name string, column_name string, section string, expr string, data_type string")
+
+
+from . import rows as _rows  # noqa: E402, F401  (registers its queries)

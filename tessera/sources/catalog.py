@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import yaml
@@ -225,7 +226,9 @@ def sample_values(df: DataFrame, n: int = 10, columns: list[str] | None = None)
 
 
 def parquet_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
+    """The tables of a folder; their schemas are read at the same time."""
+    with ThreadPoolExecutor(8) as pool:
+        return dict(zip(names, pool.map(lambda n: spark.read.parquet(f"{folder}/{n}.parquet"), names), strict=True))
 
 
 def try_query(spark: SparkSession, sql: str, **params) -> tuple[DataFrame | None, str]:
