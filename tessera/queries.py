@@ -221,7 +221,7 @@ def affix_consistency(spark, sf_dir):
 _KEYS = [(t, f, k) for t, cols in PROFILED.items() for f, k in cols]
 
 
-@query("key_candidates", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}')" for t, cols in KEY_COLUMNS.items() for c in cols) + ", ('lineitem', 'l_linenumber'), ('part', 'p_size')) v(table_name, column_name)")
+@query("key_candidates")
 def key_candidates(spark, sf_dir):
     """Columns that can be keys, from metadata alone."""
     raws = catalog.tables_from_frames(frames(spark, sf_dir))
@@ -229,7 +229,7 @@ def key_candidates(spark, sf_dir):
     return spark.createDataFrame(rows, "table_name string, column_name string")
 
 
-@query("pk_candidates", "SELECT * FROM (VALUES ('customer', 'c_custkey', 'name'), ('nation', 'n_nationkey', 'name'), ('orders', 'o_orderkey', 'name'), ('part', 'p_partkey', 'name'), ('region', 'r_regionkey', 'name'), ('supplier', 's_suppkey', 'name')) v(table_name, column_name, pk_source)")
+@query("pk_candidates")
 def pk_candidates(spark, sf_dir):
     """By name, with exact uniqueness over the whole tables as veto."""
     f = frames(spark, sf_dir)
@@ -337,19 +337,14 @@ def name_similarity(spark, sf_dir):
 # ---- relationships
 
 
-def _edge_values(*columns: str) -> str:
-    rows = {"orders": "many_to_one", "lineitem": "many_to_one", "customer": "many_to_one", "supplier": "many_to_one", "nation": "many_to_one", "labels": "one_to_one"}
-    return "SELECT " + ", ".join(columns) + " FROM (VALUES " + ", ".join(f"('{a}', '{ac}', '{b}', '{bc}', '{rows[a]}', 'inner')" for a, ac, b, bc in EDGES) + ") v(left_table, left_columns, right_table, right_columns, relationship_type, join_type)"
-
-
-@query("relationships", _edge_values("left_table", "left_columns", "right_table", "right_columns", "relationship_type", "join_type"))
+@query("relationships")
 def relationships(spark, sf_dir):
     """Discovery over all fourteen tables, with evidence from whole tables."""
     found = D.discover_from_frames(frames(spark, sf_dir, TABLES)).dataframe(spark)
     return found.filter("via = ''").select("left_table", "left_columns", "right_table", "right_columns", "relationship_type", "join_type")
 
 
-@query("fk_candidates_ranked", "SELECT *, 1 AS rnk FROM (" + _edge_values("left_table", "left_columns", "right_table", "right_columns") + ")")
+@query("fk_candidates_ranked")
 def fk_candidates_ranked(spark, sf_dir):
     """Best parents of each foreign key, ties kept."""
     found = D.discover_from_frames(frames(spark, sf_dir, TABLES)).dataframe(spark).filter("via = ''")
@@ -532,11 +527,7 @@ def cube_rollup(spark, sf_dir):
 DBT = [{"name": "orders", "entities": [{"name": "order", "expr": "o_orderkey"}], "dimensions": [{"name": "status", "expr": "o_orderstatus", "type": "categorical"}, {"name": "ordered_at", "expr": "o_orderdate", "type": "time"}], "measures": [{"name": "spend", "expr": "o_totalprice", "agg": "sum"}, {"name": "tax_paid", "agg": "sum"}]}]
 
 
-@query(
-    "partner_merge",
-    "SELECT * FROM (VALUES ('O_ORDERKEY', 'dimensions', 'TEXT', 'o_orderkey', 'o_orderkey', 'merged'), ('O_CUSTKEY', 'dimensions', 'TEXT', 'o_custkey', 'o_custkey', 'ours'), ('O_ORDERSTATUS', 'dimensions', 'TEXT', 'o_orderstatus', 'o_orderstatus', 'merged'), ('O_ORDERPRIORITY', 'dimensions', 'TEXT', 'o_orderpriority', 'o_orderpriority', 'ours'),"
-    " ('O_ORDERDATE', 'time_dimensions', 'TIMESTAMP_NTZ', 'o_orderdate', 'o_orderdate', 'merged'), ('YEAR(O_ORDERDATE)', 'time_dimensions', 'INT', 'order_year', 'year(o_orderdate)', 'ours'), ('O_TOTALPRICE', 'measures', 'DOUBLE', 'o_totalprice', 'o_totalprice', 'merged'), ('TAX_PAID', 'measures', 'NUMBER', 'tax_paid', 'tax_paid', 'partner')) v(field_key, section, data_type, name, expr, origin)",
-)
+@query("partner_merge")
 def partner_merge(spark, sf_dir):
     merged = partner.merge(partner.model_rows(spark, tpch_model().table("orders")), partner.dbt_rows(spark, DBT))
     return merged.select("field_key", "section", "data_type", "name", "expr", "origin")

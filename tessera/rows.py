@@ -19,7 +19,7 @@ from .plans import enrich, logical, parse, validate
 from .plans import model as M
 from .plans.model import BaseTable, Column, Metric, NamedFilter, RelationKey, Relationship, SemanticModel, Table, VerifiedQuery
 from .plans.query import Planner, SemanticQuery, run_verified_queries
-from .queries import RELATIONAL, TABLES, frames, query, tpch_model
+from .queries import DBT, KEY_COLUMNS, ORACLES, RELATIONAL, TABLES, frames, query, tpch_model
 from .sources import catalog
 
 # ---- SQL of the name algebra: functions from SQL text to SQL text
@@ -358,6 +358,59 @@ def pair_scores(spark, sf_dir):
     return table(spark, [(a, b, C.pair_score(a, b), C.least_score(a, b)) for a in names for b in names if a < b], "a string, b string, score double, least double")
 
 
+# ---- SQL of discovery, over the names and the values of all key columns; the queries are in queries.py
+
+#: Whole-number columns with the name of a key, whose values the SQL reads.
+VALUES_OF = [("lineitem", "l_linenumber"), *((t, c) for t, cols in (KEY_COLUMNS | {"documents": ["doc_id"], "labels": ["doc_id"], "events": ["event_id", "user_id"], "pages": ["page_id"], "benchmark": ["item_id"], "conversations": ["conv_id"]}).items() for c in cols)]
+_RELATIONAL = ", ".join(f"'{t}'" for t in RELATIONAL)
+HELD = "held AS (" + " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, CAST({c} AS BIGINT) AS v FROM {t}" for t, c in VALUES_OF) + ")"
+COUNTED = "counted AS (SELECT t, c, count(*) AS n_rows, count(v) AS n, count(DISTINCT v) AS ndv FROM held GROUP BY 1, 2)"
+
+
+def primary_keys_sql(then: str) -> str:
+    """Named keys, else an initial with ID or KEY; then: of the first, a condition on the counts k."""
+    order = "(stem = entity) DESC, (suffix IN ('KEY', 'ID')) DESC, ordinal"
+    return (
+        f"by_name AS (SELECT t, c, stem, key_family, 'name' AS source, row_number() OVER (PARTITION BY t ORDER BY {order}) AS r FROM named LEFT JOIN counted k USING (t, c) WHERE key_family IS NOT NULL AND pk_name AND NOT {any_of('c', R.SYSTEM_ACTIONS)} AND {then}),"
+        " by_initial AS (SELECT t, c, stem, key_family, 'initial' AS source, row_number() OVER (PARTITION BY t ORDER BY ordinal) AS r FROM named WHERE key_family IS NOT NULL AND length(stem) = 1 AND suffix IN ('ID', 'KEY') AND starts_with(entity, stem)),"
+        " pk AS (SELECT * FROM by_name WHERE r = 1 UNION ALL SELECT * FROM by_initial WHERE r = 1 AND t NOT IN (SELECT t FROM by_name))"
+    )
+
+
+#: Each column's best parents by name, and of these the edges that the values bear out.
+PROVEN = f"""{primary_keys_sql('true')},
+proposed AS (SELECT a.t, a.c, p.t AS pt, p.c AS pc, CASE WHEN a.stem = p.stem THEN 3 WHEN {variants('a.stem', 'p.stem')} THEN 2 WHEN ends_with(a.stem, '_' || p.stem) OR {variants('a.stem', 'e.entity')} THEN 1 ELSE 0 END AS tier
+  FROM (SELECT * FROM named WHERE suffix <> '' AND stem <> '' AND NOT excluded) a JOIN pk p ON a.t <> p.t AND a.key_family = p.key_family AND p.stem <> '' JOIN (SELECT DISTINCT t, entity FROM named) e ON e.t = p.t WHERE (a.t, a.c) NOT IN (SELECT (t, c) FROM pk)),
+ranked AS (SELECT *, rank() OVER (PARTITION BY t, c ORDER BY tier DESC) AS rnk FROM proposed WHERE tier > 0),
+best AS (SELECT * FROM ranked WHERE rnk = 1),
+parents AS (SELECT DISTINCT t, c, v FROM held WHERE v IS NOT NULL),
+proof AS (SELECT b.t, b.c, b.pt, b.pc, b.rnk, count(DISTINCT h.v) AS ndv, count(DISTINCT p.v) AS shared, count(*) FILTER (WHERE h.v IS NULL OR p.v IS NULL) AS lost FROM best b JOIN held h ON h.t = b.t AND h.c = b.c LEFT JOIN parents p ON p.t = b.pt AND p.c = b.pc AND p.v = h.v GROUP BY ALL),
+proven AS (SELECT f.*, a.n = a.ndv AS once FROM proof f JOIN counted a ON a.t = f.t AND a.c = f.c JOIN counted k ON k.t = f.pt AND k.c = f.pc WHERE k.n = k.ndv AND f.shared >= 0.5 * f.ndv)"""
+_NAMED = f"WITH {COLS}, {COLS2}, {HELD}, {COUNTED}"
+
+ORACLES["key_candidates"] = f"WITH {COLS}, {COLS2} SELECT t AS table_name, c AS column_name FROM named WHERE t IN ({_RELATIONAL}) AND key_family IS NOT NULL AND NOT excluded AND (identifier_like OR key_family = 'integer')"
+ORACLES["pk_candidates"] = f"{_NAMED}, {primary_keys_sql('coalesce(k.ndv / k.n, 1) >= 0.9')} SELECT t AS table_name, c AS column_name, source AS pk_source FROM pk WHERE t IN ({_RELATIONAL})"
+ORACLES["relationships"] = f"{_NAMED}, {PROVEN} SELECT t AS left_table, c AS left_columns, pt AS right_table, pc AS right_columns, CASE WHEN once THEN 'one_to_one' ELSE 'many_to_one' END AS relationship_type, CASE WHEN lost > 0 THEN 'left_outer' ELSE 'inner' END AS join_type FROM proven"
+ORACLES["fk_candidates_ranked"] = f"{_NAMED}, {PROVEN} SELECT t AS left_table, c AS left_columns, pt AS right_table, pc AS right_columns, CAST(rnk AS INTEGER) AS rnk FROM proven"
+
+
+# ---- SQL of the partner merge: the two sides as they are written down, and the join
+
+
+def _partner_sql() -> str:
+    t = tpch_model().table("orders")
+    text = lambda rows: "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows) + ")"
+    ours = [(c.name, c.expr, c.data_type, s) for s, cols in (("dimensions", t.dimensions), ("time_dimensions", t.time_dimensions), ("measures", t.facts)) for c in cols]
+    theirs = [(d["name"], d.get("expr", d["name"]), d.get("type", ""), s) for m in DBT for s in ("entities", "dimensions", "measures") for d in m[s]]
+    return f"""WITH a AS (SELECT *, upper(expr) AS k FROM {text(ours)} v(name, expr, kind, section)),
+b AS (SELECT name, expr, upper(expr) AS k, CASE WHEN section = 'measures' THEN 'NUMBER' WHEN kind = 'time' THEN 'DATETIME' ELSE 'TEXT' END AS kind, CASE WHEN section = 'measures' THEN section WHEN kind = 'time' THEN 'time_dimensions' ELSE 'dimensions' END AS section FROM {text(theirs)} v(name, expr, kind, section))
+SELECT coalesce(a.k, b.k) AS field_key, coalesce(a.section, b.section) AS section, coalesce(nullif(a.kind, ''), nullif(b.kind, ''), 'TEXT') AS data_type, coalesce(nullif(a.name, ''), b.name) AS name, coalesce(nullif(a.expr, ''), b.expr) AS expr,
+  CASE WHEN a.k IS NULL THEN 'partner' WHEN b.k IS NULL THEN 'ours' ELSE 'merged' END AS origin FROM a FULL JOIN b ON a.k = b.k"""
+
+
+ORACLES["partner_merge"] = _partner_sql()
+
+
 # ---- models
 
 
