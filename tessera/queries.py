@@ -255,11 +255,16 @@ def _inclusion_sql(child, cc, parent, pc) -> str:
 TRAP = ("events", "user_id", "customer", "c_custkey")
 
 
+def _included(f: dict[str, DataFrame], edges: list[tuple]) -> DataFrame:
+    """(child, parent, evidence) of all edges, in one job."""
+    found = I.inclusions([(f[a], [ac], f[b], [bc]) for a, ac, b, bc in edges])
+    name = lambda x: F.element_at(F.array(*[F.lit(n) for n in x]), F.col("edge") + 1)
+    return found.select(name([f"{a}.{ac}" for a, ac, _, _ in edges]).alias("child"), name([f"{b}.{bc}" for _, _, b, bc in edges]).alias("parent"), "*").drop("edge")
+
+
 @query("inclusion_coverage", " UNION ALL ".join(_inclusion_sql(*e) for e in [*EDGES, TRAP]))
 def inclusion_coverage(spark, sf_dir):
-    f = frames(spark, sf_dir, TABLES)
-    parts = [I.inclusion(f[a], [ac], f[b], [bc]).select(F.lit(f"{a}.{ac}").alias("child"), F.lit(f"{b}.{bc}").alias("parent"), "*") for a, ac, b, bc in [*EDGES, TRAP]]
-    return reduce(DataFrame.unionByName, parts)
+    return _included(frames(spark, sf_dir, TABLES), [*EDGES, TRAP])
 
 
 @query("inclusion_sketch")
@@ -354,10 +359,8 @@ def fk_candidates_ranked(spark, sf_dir):
 
 @query("cardinality", " UNION ALL ".join(f"SELECT '{a}.{ac}' AS child, '{b}.{bc}' AS parent, CASE WHEN c.m <= 1 AND p.m <= 1 THEN 'one_to_one' WHEN p.m <= 1 THEN 'many_to_one' WHEN c.m <= 1 THEN 'one_to_many' ELSE 'many_to_many' END AS relationship_type FROM (SELECT max(n) AS m FROM (SELECT count(*) AS n FROM {a} GROUP BY {ac})) c, (SELECT max(n) AS m FROM (SELECT count(*) AS n FROM {b} GROUP BY {bc})) p" for a, ac, b, bc in EDGES))
 def cardinality(spark, sf_dir):
-    f = frames(spark, sf_dir, TABLES)
     kind = F.when((F.col("max_child") <= 1) & (F.col("max_parent") <= 1), "one_to_one").when(F.col("max_parent") <= 1, "many_to_one").when(F.col("max_child") <= 1, "one_to_many").otherwise("many_to_many")
-    parts = [I.inclusion(f[a], [ac], f[b], [bc]).select(F.lit(f"{a}.{ac}").alias("child"), F.lit(f"{b}.{bc}").alias("parent"), kind.alias("relationship_type")) for a, ac, b, bc in EDGES]
-    return reduce(DataFrame.unionByName, parts)
+    return _included(frames(spark, sf_dir, TABLES), EDGES).select("child", "parent", kind.alias("relationship_type"))
 
 
 # ---- joins
