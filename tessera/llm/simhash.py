@@ -4,7 +4,7 @@
   lower case).  Two texts are near duplicates if their fingerprints differ in at most
   ``K`` bits, which for a text with a share r of its words replaced is about
   128 * acos(1 - r) / pi.
-* Candidates: pairs that agree in all of ``b`` sampled bits of one of ``T`` tables.  Both numbers follow from
+* First candidates: pairs that agree in all of ``b`` sampled bits of one of ``T`` tables.  Both numbers follow from
   the number of distinct fingerprints alone, by one rule at every size (``plan_tables``): ``b`` is such that a bucket has about
   ``BUCKET_ROWS`` of them, and ``T`` such that a pair at distance ``K`` meets with probability ``RECALL``
   if the bits in which they differ are any; nearer pairs meet more often.  Work grows with about the power 1.3 of the number at K = 22.
@@ -13,6 +13,11 @@
   of a coordinate bounds the distance of the segments from below, and the sum over
   segments that of the fingerprints: pairs whose bound exceeds ``K`` are discarded.
 * Verify: the exact distance of the survivors.
+* The rest, exactly: the tables leave out a few pairs, so every pair of fingerprints of different groups is then ruled out or
+  linked.  The 128 bits are cut into segments with radii that sum to ``K`` less the number of segments but one: a pair within ``K`` is within the radius
+  in one segment at least.  So all values within the radius of a fingerprint's own are looked up for each segment (``crossing``), and
+  what is found is compared exactly.  All pairs of chunks of fingerprints are tiles, a task each.  Work grows with the square of
+  the number of distinct fingerprints, and is about a hundredth of that of comparing all of them.
 
 Equal fingerprints are one node from the start, and a bucket sends on a spanning
 forest of its verified pairs, not all of them, so groups of thousands of copies cost
@@ -34,6 +39,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +53,8 @@ BUCKET_ROWS = 16
 RECALL = 0.95
 SEGMENTS, REFERENCES = 8, 8
 SEED = 20240607
+#: Fingerprints on a side of a tile at most, and how many are looked up and how many pairs compared at a time; members in a tile from which a group's own are passed over.
+CHUNK, BLOCK, PAIRS, CROWD = 1 << 20, 1 << 15, 1 << 17, 64
 U = np.uint64
 
 
@@ -194,6 +202,103 @@ def forest(keys: np.ndarray, fp: np.ndarray, refs: np.ndarray, k: int = K) -> tu
     return rows, root[rows]
 
 
+def cut_segments(k: int, rows: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, radius) of the segments with the least work for ``rows`` fingerprints on a side; a comparison costs half a lookup.
+
+    The radii plus one sum to k + 1: a pair beyond the radius in every segment differs in more than k bits.
+    """
+
+    def cut(parts: int) -> list[tuple[int, int, int]]:
+        ends = [128 * g // parts for g in range(parts + 1)]
+        return [(a, b - a, (k + 1) // parts - 1 + (g < (k + 1) % parts)) for g, (a, b) in enumerate(pairwise(ends))]
+
+    def work(cuts: list[tuple[int, int, int]]) -> float:
+        return sum(math.comb(bits, d) * (1 + rows / 2**bits / 2) for _, bits, radius in cuts for d in range(radius + 1))
+
+    return min((cut(parts) for parts in range(6, 13)), key=work)
+
+
+def segment(fp: np.ndarray, first: int, bits: int) -> np.ndarray:
+    """The values of the bits first, ..., first + bits - 1 of each fingerprint."""
+    out = np.empty(len(fp), np.int32)
+    for at in range(0, len(fp), 8192):
+        on = np.unpackbits(np.ascontiguousarray(fp[at : at + 8192]).view(np.uint8).reshape(-1, 16), axis=1)
+        out[at : at + 8192] = on[:, first : first + bits] @ (1 << np.arange(bits))
+    return out
+
+
+def crossing(a: np.ndarray, of_a: np.ndarray, b: np.ndarray | None, of_b: np.ndarray | None, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v), u > v: the pairs of groups of which fingerprints, one of ``a`` and one of ``b``, are within k; without ``b``, both of ``a``.
+
+    ``of_a`` and ``of_b`` are the groups; pairs of fingerprints of one group are passed over.
+    """
+    alone = b is None
+    if alone:
+        b, of_b = a, of_a
+    groups, rank = np.unique(np.concatenate([of_a, of_b]), return_inverse=True)
+    rank_a, rank_b = rank[: len(a)], rank[len(rank) - len(b) :]
+    crowded = np.bincount(rank_b, minlength=len(groups)) >= CROWD
+    links: list[np.ndarray] = []
+    for first_bit, bits, radius in cut_segments(k, len(b)):
+        if radius < 0:
+            continue
+        value, other = segment(a, first_bit, bits), segment(b, first_bit, bits)
+        order = np.lexsort((rank_b, other))
+        other, group_b, (high_b, low_b) = other[order], rank_b[order], b[order].T.copy()
+        place = other.astype(np.int64) << 32 | group_b
+        counts = np.bincount(other, minlength=1 << bits).astype(np.int32)
+        starts = np.cumsum(counts) - counts
+        order = np.lexsort((rank_a, value))
+        value, group_a, (high_a, low_a) = value[order], rank_a[order], a[order].T.copy()
+        masks = [sum(1 << x for x in on) for d in range(min(radius, bits) + 1) for on in combinations(range(bits), d)]
+        for at in range(0, len(a), BLOCK):
+            block = value[at : at + BLOCK]
+            crowd = crowded[group_a[at : at + BLOCK]]
+            some = crowd.any()
+            # of a pair of values that differ in the lowest bit of a mask, one looks up the other
+            rows = [np.flatnonzero(block >> x & 1 == 0) for x in range(bits)] if alone else []
+            values = [block[i] for i in rows]
+            found = []
+            for mask in masks:
+                lowest = (mask & -mask).bit_length() - 1
+                key = (values[lowest] if alone and mask else block) ^ np.int32(mask)
+                count = counts[key]
+                on = np.flatnonzero(count)
+                if not len(on):
+                    continue
+                key, count = key[on], count[on].astype(np.int64)
+                i = rows[lowest][on] if alone and mask else on
+                start = starts[key]
+                if some and len(on := np.flatnonzero(crowd[i] & (count >= CROWD))):  # before and after their own group
+                    own = key[on].astype(np.int64) << 32 | group_a[at + i[on]]
+                    here, beyond = np.searchsorted(place, own), np.searchsorted(place, own + 1)
+                    i, start, count = np.append(i, i[on]), np.append(start, beyond), np.append(count, start[on] + count[on] - beyond)
+                    count[on] = here - start[on]
+                    on = np.flatnonzero(count)
+                    i, start, count = i[on], start[on], count[on]
+                i = i + at
+                ends = np.cumsum(count)
+                done = 0
+                while done < len(i):
+                    before = int(ends[done - 1]) if done else 0
+                    to = max(done + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+                    n = count[done:to]
+                    x = np.repeat(i[done:to], n)
+                    y = np.arange(before, int(ends[to - 1])) + np.repeat(start[done:to] - ends[done:to] + n, n)
+                    done = to
+                    on = np.flatnonzero(np.bitwise_count(high_a[x] ^ high_b[y]) <= k)
+                    x, y = x[on], y[on]
+                    on = np.bitwise_count(high_a[x] ^ high_b[y]) + np.bitwise_count(low_a[x] ^ low_b[y]) <= k
+                    u, v = group_a[x[on]], group_b[y[on]]
+                    on = u != v
+                    if on.any():
+                        found.append(np.maximum(u, v)[on] << 32 | np.minimum(u, v)[on])
+            if found:
+                links.append(np.unique(np.concatenate(found)))
+    both = np.unique(np.concatenate(links)) if links else np.empty(0, np.int64)
+    return groups[both >> 32], groups[both & 0xFFFFFFFF]
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, hi, lo) of the rows that have a doc_id and words."""
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
@@ -273,6 +378,35 @@ def bucket_edges(rows: DataFrame, k: int = K) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "hi").mapInArrow(run, "u long, v long").distinct()
 
 
+def crossing_edges(rooted: DataFrame, n: int, k: int = K) -> DataFrame:
+    """(u, v), u > v: the pairs of groups that a verified pair links, of the n rows (hi, lo, root) of fingerprints and their groups so far."""
+    cores = rooted.sparkSession.sparkContext.defaultParallelism
+    chunks = max(1, math.ceil(n / CHUNK), min(math.ceil(math.sqrt(4 * cores)), math.ceil(n / 4096)))
+    tiles = chunks * (chunks + 1) // 2
+    one, two = F.least("chunk", "other"), F.greatest("chunk", "other")
+    side = F.when(F.col("chunk") == F.col("other"), 0).when(F.col("chunk") == one, 1).otherwise(2)
+    rows = rooted.withColumn("chunk", F.pmod(F.xxhash64("hi", "lo"), F.lit(chunks))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    rows = rows.select((F.floor(two * (two + 1) / 2) + one).cast("int").alias("tile"), side.cast("byte").alias("side"), "hi", "lo", "root")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held)
+            del held
+            tile, side, hi, lo, root = (t.column(i).to_numpy() for i in range(5))
+            fp = np.stack([hi, lo], 1).view(np.uint64)
+            for x in np.unique(tile):
+                at = [np.flatnonzero((tile == x) & (side == s)) for s in range(3)]
+                if len(at[0]):
+                    u, v = crossing(fp[at[0]], root[at[0]], None, None, k)
+                else:
+                    u, v = crossing(fp[at[1]], root[at[1]], fp[at[2]], root[at[2]], k)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        tidy()
+
+    return rows.repartitionById(tiles, "tile").mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (u, v) but the roots; the root is the smallest node of its component."""
     spark = edges.sparkSession
@@ -306,9 +440,17 @@ def _groups(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     nodes = materialize(fps.groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "nodes")
     # documents of one doc_id are one node
     same = fps.join(nodes, ["hi", "lo"]).filter("doc_id <> node").select(F.greatest("doc_id", "node").alias("u"), F.least("doc_id", "node").alias("v"))
-    rows = bucket_rows(nodes.repartition(max(1, spark.sparkContext.defaultParallelism), "hi"), *plan_tables(nodes.count(), k))
+    n = nodes.count()
+    rows = bucket_rows(nodes.repartition(max(1, spark.sparkContext.defaultParallelism), "hi"), *plan_tables(n, k))
     roots = components(bucket_edges(rows, k).union(same))
+    rooted = nodes.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"))
+    more = materialize(crossing_edges(rooted, n, k), "more")
     drop(spark, nodes)
+    if not more.isEmpty():
+        joined = components(more)
+        to = joined.toDF("root", "to")
+        roots = roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")).union(joined)
+    drop(spark, more)
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id")), fps
 
 
